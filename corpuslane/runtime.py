@@ -33,3 +33,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpuslane-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str, tasks_per_core: int = 2) -> DataFrame:
+    """Repartition by ``keys`` only where ``df`` has too few partitions to keep the cluster busy (small compressed files)."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
+    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
