@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import sampling
-from corpuslane.runtime import table
+from corpuslane.llm import packing, sampling, tokens
+from corpuslane.runtime import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +23,26 @@ def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.allocate(table(spark, sf_dir, "sample_targets"), sampling.category_counts(primaries))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"))
+    return packing.fill_containers(sizes, table(spark, sf_dir, "container_sizes"), cut=cut_lineage)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_fill(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_allocation": p1_allocation,
+    "p6_ids": p6_ids,
+    "p7_fill": p7_fill,
+    "p7_report": p7_report,
 }
 
 P1_BASE = """
