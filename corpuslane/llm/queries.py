@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import packing, sampling, tokens
+from corpuslane.llm import lookalike, packing, sampling, tokens
 from corpuslane.runtime import cut_lineage, table
 
 
@@ -36,6 +36,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_fill(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.one_form(table(spark, sf_dir, "documents")).select("doc_id", "form")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking_pairs(cut_lineage(lookalike.one_form(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
@@ -43,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
 }
 
 P1_BASE = """
