@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import lookalike, packing, sampling, tokens
+from corpuslane.llm import defects, lookalike, packing, sampling, tokens
 from corpuslane.runtime import cut_lineage, table
 
 
@@ -23,6 +23,18 @@ def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.allocate(table(spark, sf_dir, "sample_targets"), sampling.category_counts(primaries))
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(defects.with_votes(defects.prepare(table(spark, sf_dir, "model_generations"), table(spark, sf_dir, "prompt_records"))))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.one_defect(defects.labels(_votes(spark, sf_dir)))
+
+
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.labels(_votes(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -48,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_allocation": p1_allocation,
+    "p5_found": p5_found,
+    "p5_labels": p5_labels,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
     "p7_report": p7_report,
