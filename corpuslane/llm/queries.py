@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import defects, lookalike, packing, sampling, tokens
+from corpuslane.llm import defects, lookalike, packing, sampling, scans, tokens
 from corpuslane.runtime import cut_lineage, table
 
 
@@ -23,6 +23,14 @@ def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.allocate(table(spark, sf_dir, "sample_targets"), sampling.category_counts(primaries))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.Repair(table(spark, sf_dir, "parsed_papers"), cut_lineage).found()
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.Repair(table(spark, sf_dir, "parsed_papers"), cut_lineage).text()
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(defects.with_votes(defects.prepare(table(spark, sf_dir, "model_generations"), table(spark, sf_dir, "prompt_records"))))
 
@@ -60,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_allocation": p1_allocation,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p5_found": p5_found,
     "p5_labels": p5_labels,
     "p6_ids": p6_ids,
