@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import defects, lookalike, packing, sampling, scans, tokens
+from corpuslane.llm import defects, lookalike, names, packing, sampling, scans, tokens
 from corpuslane.runtime import cut_lineage, table
 
 
@@ -23,6 +23,14 @@ def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.allocate(table(spark, sf_dir, "sample_targets"), sampling.category_counts(primaries))
 
 
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_names(table(spark, sf_dir, "paper_records"), cut_lineage)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(cut_lineage(p3_entities(spark, sf_dir)))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.Repair(table(spark, sf_dir, "parsed_papers"), cut_lineage).found()
 
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_allocation": p1_allocation,
+    "p3_entities": p3_entities,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_text": p4_text,
     "p5_found": p5_found,
