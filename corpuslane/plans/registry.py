@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packed",)
+MODULES = ("packed", "corpus", "search", "documents", "events", "learning")
 
 
 def _modules():
