@@ -24,7 +24,7 @@ def era(year: Column) -> Column:
 
 def recency(year: Column, now: int = 2024) -> Column:
     """1 for this year or later, a tenth less for every year before, at least 0; 0.5 without a year."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - 0.1 * F.greatest(F.lit(0), now - year)), F.lit(0.5))
+    return F.when(year.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - 0.1 * F.greatest(F.lit(0), now - year)))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -271,7 +271,7 @@ def set_duplicates(spark, sf_dir):
 
 
 @query(f"""WITH {LATEST}, y AS (SELECT paper_id, CAST(nullif(regexp_extract(published_date, '^(\\d{{4}})', 1), '') AS INT) AS y FROM latest)
-SELECT paper_id, round(coalesce(greatest(0, 1 - 0.1 * greatest(0, 2024 - y)), 0.5), 6) AS recency, CASE WHEN y <= 2017 THEN 'foundational' WHEN y <= 2020 THEN 'established' WHEN y <= 2022 THEN 'recent' WHEN y >= 2023 THEN 'current' ELSE '-' END AS era FROM y""")
+SELECT paper_id, round(CASE WHEN y IS NULL THEN 0.5 ELSE greatest(0, 1 - 0.1 * greatest(0, 2024 - y)) END, 6) AS recency, CASE WHEN y <= 2017 THEN 'foundational' WHEN y <= 2020 THEN 'established' WHEN y <= 2022 THEN 'recent' WHEN y >= 2023 THEN 'current' ELSE '-' END AS era FROM y""")
 def scl_recency_era(spark, sf_dir):
     y = papers(spark, sf_dir).select("paper_id", S.year_of(F.col("published_date")).alias("y"))
     return y.select("paper_id", F.round(S.recency(F.col("y")), 6).alias("recency"), F.coalesce(S.era(F.col("y")), F.lit("-")).alias("era"))

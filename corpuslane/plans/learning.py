@@ -42,10 +42,10 @@ s AS (SELECT vec_id AS doc_id, e.label AS actual, c.label, round(greatest(list_s
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1)"""
 
 
-@query(f"WITH {CENT} SELECT doc_id, label, round(score, 4) AS score FROM b")
+@query(f"WITH {CENT} SELECT doc_id, label, score FROM b")
 def rte_prototype_labels(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
-    return L.prototype_labels(v.drop("label"), L.centroids(v)).select("doc_id", "label", F.round("score", 4).alias("score"))
+    return L.prototype_labels(v.drop("label"), L.centroids(v))
 
 
 @query(f"WITH {CENT}, p AS (SELECT actual, label AS predicted FROM b), l AS (SELECT DISTINCT unnest([actual, predicted]) AS label FROM p), m AS (SELECT l.label, count_if(actual = l.label) AS support, count_if(predicted = l.label) AS guessed, count_if(actual = l.label AND predicted = l.label) AS hit FROM p CROSS JOIN l GROUP BY 1), r AS (SELECT *, CASE WHEN guessed = 0 THEN 0 ELSE hit / guessed END AS p, CASE WHEN support = 0 THEN 0 ELSE hit / support END AS r FROM m) SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r")

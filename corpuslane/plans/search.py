@@ -88,12 +88,11 @@ def ret_top_terms(spark, sf_dir):
     return T.top_terms(_index(spark, sf_dir), 5)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS score
+@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 9) AS score
   FROM e q JOIN e d ON q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def ret_nearest_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    found = T.nearest(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), K)
-    return found.withColumn("score", F.round("score", 6))
+    return T.nearest(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), K)
 
 
 def _two_lists(spark, sf_dir, depth=50):

@@ -23,7 +23,7 @@ def test_jsonl_modes(spark, tmp_path):
     arr = tmp_path / "arr.json"
     arr.write_text(json.dumps(good))
     assert files.read_json_any(spark, str(arr), files.RAW_RECORD).count() == 4
-    files.write_csv(marked.select("id"), str(tmp_path / "csv"))
+    files.write_csv(marked.select(F.coalesce("id", F.lit("-")).alias("id"), "title"), str(tmp_path / "csv"))
     assert files.read_csv(spark, str(tmp_path / "csv")).count() == 5
     folder = files.read_folder(spark, str(tmp_path), files.RAW_RECORD)
     assert folder.where("origin = 'raw'").count() >= 4
@@ -56,7 +56,7 @@ def test_manifest_edges(spark):
     m = {r.user_id: r for r in E.manifest(e).collect()}
     assert sum(r.events for r in m.values()) == 30 and m[0].state == "complete"
     assert E.manifest(e.where("false")).count() == 0
-    odd = spark.createDataFrame([(1, None, None, None, None, None), (None, None, 1, "view", 1.0, "{bad")], e.schema)
+    odd = spark.createDataFrame([(1, None, None, None, None, None), (None, None, 1, "view", 1.0, "{bad")], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
     assert E.manifest(E.distinct_events(odd)).count() == 0 and E.props_totals(odd).count() == 0
 
 
