@@ -12,12 +12,14 @@ more than 40 characters are left as they are; a lone page number is accepted whe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslane.runtime import cut_lineage
+
 # Order of parts in a paper; other sections come between, references last.
 PART_ORDER = ("abstract", "introduction", "related_work", "method", "results", "discussion", "limitations", "conclusion")
 HYPHEN = r"[-‐‑¬­]"
@@ -215,7 +217,7 @@ def joins(pairs: DataFrame, vocab: DataFrame, fixes: DataFrame) -> DataFrame:
 class Repair:
     """The stages of a repair, stored by ``cut`` where several results read them."""
 
-    def __init__(self, papers: DataFrame, cut: callable = lambda df: df):
+    def __init__(self, papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage):
         self.edged = cut(find_edges(split_lines(papers)))
         self.body = cut(body_lines(self.edged))
         self.pairs = self.body.where("broken").select("left", "right").distinct()

@@ -36,5 +36,5 @@ def test_empty(spark):
 
 
 def test_printed_forms():
-    assert "sparse" in S.printed_forms("spar5e") and "citation" in S.printed_forms("citahon") and "modern" in S.printed_forms("modem") or True
+    assert "sparse" in S.printed_forms("spar5e") and "citation" in S.printed_forms("citahon")
     assert "domain" in S.printed_forms("dornain") and "under" in S.printed_forms("uncler") and S.printed_forms("f igure") == ["figure"]
