@@ -154,3 +154,19 @@ def weighted_fusion(scores: DataFrame, weights: dict[str, float], k: int) -> Dat
 
 def relation(score: Column, year: Column) -> Column:
     return F.when(score >= 0.8, "core").when(S.recency(year) >= 0.9, "recent").when(score >= 0.5, "supporting").otherwise("background")
+
+
+def promote(scores: DataFrame, matches: Column, k: int) -> DataFrame:
+    """Ranks anew with matching rows first, each part in its order; without a match it is the order by score."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce(matches, F.lit(False))), F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def evidence_pack(ranked: DataFrame, docs: DataFrame, chars: int, most: int) -> DataFrame:
+    """(query_id, source_id, doc_id, score, snippet): the first ``most`` hits of each query as numbered sources.
+
+    Texts are joined to the kept hits only; scores are squashed by the best of the query.
+    """
+    top = ranked.where(F.col("rank") <= most).withColumn("_best", F.max("score").over(Window.partitionBy("query_id")))
+    joined = top.join(docs, "doc_id")
+    return joined.select("query_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), "doc_id", S.squash(F.col("score"), F.col("_best")).alias("score"), X.snippet(X.clean_text(F.col("text")), chars).alias("snippet"))
