@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslane.functions import python as Y
 from corpuslane.functions import text as X
 from corpuslane.operators import records as R
 from corpuslane.operators import retrieval as T
@@ -87,3 +88,17 @@ def evl_strategy_pivot(spark, sf_dir):
     ends = g.agg(F.min("strategy").alias("lo"), F.max("strategy").alias("hi"))
     m = g.join(table(spark, sf_dir, "prompt_records").select("prompt_id", "task").distinct(), "prompt_id").groupBy("task", "strategy").agg(F.avg("s").alias("mean")).crossJoin(F.broadcast(ends))  # one row
     return m.groupBy("task").agg(F.round(F.max(F.when(F.col("strategy") == F.col("lo"), F.col("mean"))), 6).alias("first_mean"), F.round(F.max(F.when(F.col("strategy") == F.col("hi"), F.col("mean"))), 6).alias("last_mean"))
+
+
+@query()
+def txt_first_json_object(spark, sf_dir):
+    g = generations(spark, sf_dir).where(F.contains("text", F.lit("{")))
+    return g.select("generation_id", Y.first_json_object("text").alias("object")).select("generation_id", F.length("object").alias("chars"), F.try_parse_json("object").isNotNull().alias("valid"))
+
+
+@query()
+def txt_title_similarity(spark, sf_dir):
+    """How alike the titles of a parsed paper and of its record are."""
+    parsed = table(spark, sf_dir, "parsed_papers").where("paper_id is not null and title is not null").select("parsed_id", "paper_id", F.col("title").alias("parsed_title")).distinct()
+    both = parsed.join(papers(spark, sf_dir).select("paper_id", "title"), "paper_id").where("title is not null")
+    return both.select("parsed_id", F.round(Y.sequence_ratio("parsed_title", "title"), 6).alias("similarity"))

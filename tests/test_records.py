@@ -66,3 +66,12 @@ def test_nearest_percentile(spark):
     r = R.nearest_percentile(df, "v", [0.25, 0.75], ["g"]).first()
     assert (r.p25, r.p75) == (2, 4)
     assert R.nearest_percentile(df.where("false"), "v", [0.5], ["g"]).count() == 0
+
+
+def test_python_functions(spark):
+    from corpuslane.functions import python as Y
+
+    assert Y.balanced_object('x {"a": "}", "b": {"c": 1}} y }') == '{"a": "}", "b": {"c": 1}}' and Y.balanced_object("{ {} ") == "{}" and Y.balanced_object("none") is None and Y.balanced_object(None) is None
+    df = spark.createDataFrame([("abcd", "abcd"), ("abcd", "bcde"), (None, "a")], "a string, b string")
+    assert [r.x for r in df.select(Y.sequence_ratio("a", "b").alias("x")).collect()] == [1.0, 0.75, None]
+    assert [r.x for r in df.select(Y.first_json_object("a").alias("x")).collect()] == [None, None, None]
