@@ -59,7 +59,8 @@ def split_lines(papers: DataFrame) -> DataFrame:
     keyed = papers.where(F.col("parsed_id").isNotNull())
     sections = keyed.select("parsed_id", "title", F.explode("sections").alias("part_name", "text")).withColumn("entry", F.lit(0)).withColumn("part_no", F.when(order > 0, order.cast("int")).otherwise(len(PART_ORDER) + 1))
     entries = keyed.select("parsed_id", "title", F.posexplode("reference_entries").alias("entry", "text")).withColumn("part_name", F.lit("references")).withColumn("part_no", F.lit(len(PART_ORDER) + 2))
-    parts = sections.unionByName(entries).where(F.length("text") > 0).distinct()
+    # All windows below are by paper and more, so one exchange by paper serves them and the removal of repeats.
+    parts = sections.unionByName(entries).where(F.length("text") > 0).repartition("parsed_id").distinct()
     lines = parts.select("parsed_id", "title", "part_name", "part_no", "entry", F.posexplode(F.split("text", r"\r?\n")).alias("ln", "line"))
     return lines.withColumn("line", F.regexp_replace("line", r"^[\s ]+|[\s ]+$", "")).where("line <> ''")
 
