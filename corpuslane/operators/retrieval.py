@@ -170,3 +170,35 @@ def evidence_pack(ranked: DataFrame, docs: DataFrame, chars: int, most: int) ->
     top = ranked.where(F.col("rank") <= most).withColumn("_best", F.max("score").over(Window.partitionBy("query_id")))
     joined = top.join(docs, "doc_id")
     return joined.select("query_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), "doc_id", S.squash(F.col("score"), F.col("_best")).alias("score"), X.snippet(X.clean_text(F.col("text")), chars).alias("snippet"))
+
+
+def bm25_grid(index: Index, queries: DataFrame, k: int, grid: list[tuple[float, float]], analyzer=X.content_tokens) -> DataFrame:
+    """Okapi scores for every (k1, b) of a small grid over one pass of the postings: (k1, b, query_id, doc_id, score, rank)."""
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = index.terms.crossJoin(F.broadcast(index.stats)).agg(F.avg(raw).alias("mean_idf"))  # one row
+    m = _matches(index, queries, analyzer).join(index.docs, "doc_id").crossJoin(F.broadcast(mean))
+    tf = F.col("tf").cast("double")
+    ratio = lambda b: 1 - b + b * F.col("dl") / F.col("avgdl")
+    weight = F.col("qtf") * F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw)
+    sums = [F.sum(weight * tf * (k1 + 1) / (tf + k1 * ratio(b))).alias(f"s{i}") for i, (k1, b) in enumerate(grid)]
+    rows = F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}").alias("score")) for i, (k1, b) in enumerate(grid)])
+    scored = m.groupBy("query_id", "doc_id").agg(*sums).select("query_id", "doc_id", F.inline(rows)).where("score > 0").withColumn("score", F.round("score", DIGITS))
+    rank = F.row_number().over(Window.partitionBy("k1", "b", "query_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def role_weighted(vectors: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(doc_id, vec) from (doc_id, role, vec): the weighted sum over roles.
+
+    Its dot product with a query is the weighted sum of the roles' dot products, so ``nearest`` over it ranks by
+    sections at the price of one vector a document. A missing role adds nothing; of repeated ones the greatest counts;
+    rows without id or vector and other roles are left out.
+    """
+    known = vectors.where(F.col("doc_id").isNotNull() & F.col("vec").isNotNull() & F.col("role").isin(*weights))
+    one = known.groupBy("doc_id").agg(*[F.max(F.when(F.col("role") == r, F.col("vec"))).alias(f"v{i}") for i, r in enumerate(weights)])
+    scaled = lambda c, w: F.transform(c, lambda x: x.cast("double") * w)
+    total = None
+    for i, w in enumerate(weights.values()):
+        part = scaled(F.col(f"v{i}"), w)
+        total = part if total is None else F.coalesce(F.zip_with(total, part, lambda a, b: a + b), total, part)
+    return one.select("doc_id", total.alias("vec"))
