@@ -105,6 +105,11 @@ def mark_edges(lines: DataFrame) -> DataFrame:
     room = F.length("line") + 1 + F.coalesce(F.length(next_word), F.lit(0)) <= width
     alone = F.col("key").isNotNull() & (F.length("key") >= 4) & F.coalesce(room, F.lit(False)) & ~F.col("line").rlike(rf"^\p{{Ll}}|\p{{Ll}}{HYPHEN}$")
     m = m.withColumn("alone", alone).withColumn("edge", F.coalesce(F.col("alone") & (F.col("beside") | numbered), F.lit(False)))
+    # A footer ends one page and a header opens the next, so beside a page number their numbers differ by one.
+    m = m.withColumn("_page_no", F.when(F.col("page"), F.col("number")))
+    follows = (F.col("carried") - F.lag("_page_no").over(text) == 1) | (F.lead("_page_no").over(text) - F.col("carried") == 1)
+    opens = ~F.col("line").rlike(rf"^\p{{Ll}}|\p{{L}}{HYPHEN}$") & (F.length("key") >= 4)
+    m = m.withColumn("runs", F.coalesce(follows & opens, F.lit(False)))
     return m.withColumn("_edge_twins", F.count_if("edge").over(twin))
 
 
@@ -119,7 +124,7 @@ def find_edges(lines: DataFrame) -> DataFrame:
     m = mark_edges(lines)
     m = m.join(known_headers(m), "key", "left")
     repeated = F.col("edge") & (F.col("_edge_twins") >= 2) & (F.col("_edge_twins") >= 0.8 * F.col("_twins"))
-    header = F.col("as_title") | F.col("et_al") | (F.coalesce("known", F.lit(False)) & ~F.col("line").rlike(r"^\p{Ll}")) | repeated
+    header = F.col("as_title") | F.col("et_al") | (F.coalesce("known", F.lit(False)) & ~F.col("line").rlike(r"^\p{Ll}")) | repeated | F.col("runs")
     noise = F.when(F.col("page"), "page_number").when(header & F.col("key").isNotNull(), "running_header")
     return m.select("parsed_id", "part_name", "entry", "ln", "line", noise.alias("noise"))
 

@@ -30,6 +30,12 @@ def test_numbers_of_the_text_stay(spark):
     assert ("page_number", "2024.") not in got and not any(n == "hyphenation" for n, _ in got)
 
 
+def test_a_header_goes_with_the_page_number_beside_it(spark):
+    text = "It joins a sparse enco-\n11 / 20\n12 Proc. of Some Forum, vol. 9\nder with a long term that fills the line.\nThe runs took longer than 12\n12 / 20\nhours in all of the cases.\n13 / 20\n90 updates were made for each of the seeds."
+    got = {(x.noise, x.item) for x in run(spark, [(1, "A title", {"method": text}, None, None, None)]).found().collect()}
+    assert {x for x in got if x[0] != "misread"} == {("hyphenation", "encoder"), ("page_number", "11 / 20"), ("page_number", "12 / 20"), ("page_number", "13 / 20"), ("running_header", "12 Proc. of Some Forum, vol. 9")}
+
+
 def test_empty(spark):
     r = run(spark, [])
     assert r.found().count() == 0 and r.text().count() == 0
