@@ -45,9 +45,14 @@ def query_terms(queries: DataFrame, analyzer: Callable[[Column], Column] = X.con
     return queries.where("query_id is not null").select("query_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def top_k(scores: DataFrame, k: int, key: str = "doc_id", by: str = "query_id") -> DataFrame:
-    """The k best of each query, best first; scores are rounded before they are compared, so ties are true ties."""
+def top_k(scores: DataFrame, k: int | None, key: str = "doc_id", by: str = "query_id") -> DataFrame:
+    """The k best of each query, best first; scores are rounded before they are compared, so ties are true ties.
+
+    Without k, all scores unranked.
+    """
     rounded = scores.withColumn("score", F.round("score", DIGITS))
+    if k is None:
+        return rounded
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -58,7 +63,7 @@ def _matches(index: Index, queries: DataFrame, analyzer) -> DataFrame:
     return q.join(index.postings, "term")
 
 
-def tfidf(index: Index, queries: DataFrame, k: int, analyzer=X.content_tokens) -> DataFrame:
+def tfidf(index: Index, queries: DataFrame, k: int | None, analyzer=X.content_tokens) -> DataFrame:
     """Cosine of raw tf times smooth idf, ln((1 + n) / (1 + df)) + 1, with unit rows."""
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     weighted = index.postings.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row
@@ -69,7 +74,7 @@ def tfidf(index: Index, queries: DataFrame, k: int, analyzer=X.content_tokens) -
     return top_k(dots.join(norms, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score")).where("score > 0"), k)
 
 
-def bm25(index: Index, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, variant: str = "okapi", delta: float = 0.5, analyzer=X.content_tokens) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75, variant: str = "okapi", delta: float = 0.5, analyzer=X.content_tokens) -> DataFrame:
     """Okapi, L or Plus. Okapi floors negative idf at a quarter of the mean idf; L and Plus use positive idf.
 
     L and Plus give a document without a term a constant share in the literature; that constant is the same for all
@@ -152,6 +157,45 @@ def weighted_fusion(scores: DataFrame, weights: dict[str, float], k: int) -> Dat
     return top_k(min_max(scores).groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("normal")).alias("score")), k)
 
 
+def full_ranks(scores: DataFrame, by: tuple[str, ...] = ("query_id",), rows_per_range: int = 100_000) -> DataFrame:
+    """``rank`` of every row by falling score, then doc_id, without one task for a group.
+
+    A group is cut into score ranges by its size; ranks are made inside ranges and shifted by the rows in better ones.
+    ``scores`` is read three times.
+    """
+    keys = list(by)
+    spans = scores.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.ceil(F.count("*") / rows_per_range).alias("_ranges"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * (F.col("_ranges") - 1))).otherwise(F.lit(0))
+    placed = scores.join(spans, keys).withColumn("_range", place.cast("bigint"))
+    better = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(F.desc("score"), "doc_id"))
+    return placed.withColumn("_inside", inside).join(starts, [*keys, "_range"]).select(*scores.columns, (F.col("_start") + F.col("_inside")).alias("rank"))
+
+
+def side_by_side(scores: DataFrame, components: tuple[str, ...]) -> DataFrame:
+    """(query_id, doc_id, one score a component) from (query_id, doc_id, score, component); null where a list lacks the document."""
+    return scores.groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("component") == c, F.col("score"))).alias(c) for c in components])
+
+
+def min_max_columns(pairs: DataFrame, components: tuple[str, ...]) -> DataFrame:
+    """:func:`side_by_side` with each component scaled to 0..1 by query, a missing one as 0; extremes are grouped, not windowed."""
+    ends = pairs.groupBy("query_id").agg(*[f(c).alias(f"_{n}_{c}") for c in components for n, f in (("lo", F.min), ("hi", F.max))])
+    normal = lambda c: F.when(F.col(f"_hi_{c}") - F.col(f"_lo_{c}") < 1e-9, 0.5).otherwise((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")))
+    return pairs.join(ends, "query_id").select("query_id", "doc_id", *[F.when(F.col(c).isNull(), 0.0).otherwise(normal(c)).alias(c) for c in components])
+
+
+def may_lead(two: DataFrame, k: int, a: str, b: str) -> DataFrame:
+    """The rows that can be among the k best of their query for some weight between ``a`` and ``b``; no other can.
+
+    Any weighting of a row lies between its two scores, so k rows with both scores above its greater one shut it out.
+    """
+    low, high = F.least(a, b), F.greatest(a, b)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_low")))
+    bar = two.select("query_id", low.alias("_low")).withColumn("_rn", rank).where(F.col("_rn") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("_low")).alias("_bar"))
+    return two.join(bar, "query_id").where(F.col("_bar").isNull() | (high >= F.col("_bar") - 1e-8)).drop("_bar")
+
+
 def relation(score: Column, year: Column) -> Column:
     return F.when(score >= 0.8, "core").when(S.recency(year) >= 0.9, "recent").when(score >= 0.5, "supporting").otherwise("background")
 

@@ -41,6 +41,13 @@ def ret_promote(spark, sf_dir):
     return T.promote(found, F.contains(F.lower("text"), F.lit("distribution shift")), 10).select("query_id", "doc_id", "score", "rank")
 
 
+@query(ORACLE["ret_promote"].replace(" WHERE rank <= 30", ""))
+def ret_promote_whole(spark, sf_dir):
+    """The same over every matching document."""
+    found = T.tfidf(search._index(spark, sf_dir), search._prompts(spark, sf_dir), None).join(docs(spark, sf_dir), "doc_id")
+    return T.promote(found, F.contains(F.lower("text"), F.lit("distribution shift")), 10).select("query_id", "doc_id", "score", "rank")
+
+
 @query(f"""WITH {LATEST}, e AS (SELECT DISTINCT paper_id AS a, unnest(reference_ids) AS b FROM latest), seeds AS (SELECT paper_id FROM latest WHERE citation_count >= 50),
 l AS (SELECT a AS candidate, b AS seed, 'cites' AS link FROM e WHERE b IN (SELECT paper_id FROM seeds) UNION ALL SELECT b, a, 'cited_by' FROM e WHERE a IN (SELECT paper_id FROM seeds))
 SELECT candidate, count(DISTINCT seed) AS seeds, string_agg(DISTINCT link, ',' ORDER BY link) AS links FROM l WHERE candidate IS NOT NULL AND candidate <> seed GROUP BY candidate""")

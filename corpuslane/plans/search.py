@@ -95,7 +95,7 @@ def ret_nearest_vectors(spark, sf_dir):
     return T.nearest(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), K)
 
 
-def _two_lists(spark, sf_dir, depth=50):
+def _two_lists(spark, sf_dir, depth: int | None = 50):
     i, q = _index(spark, sf_dir), _doc_queries(spark, sf_dir)
     t, b = T.tfidf(i, q, depth).withColumn("component", F.lit("tfidf")), T.bm25(i, q, depth).withColumn("component", F.lit("bm25"))
     return t.unionByName(b)
@@ -158,12 +158,59 @@ nrm AS (SELECT query_id, doc_id, component, CASE WHEN hi - lo < 1e-9 THEN 0.5 EL
 r AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY score DESC, doc_id) AS rank FROM f), h AS (SELECT weight, count(*) AS hits FROM r JOIN gold USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1)
 SELECT round(g.weight, 2) AS weight, coalesce(hits, 0) AS hits FROM g LEFT JOIN h USING (weight)""")
 def evl_weight_grid(spark, sf_dir):
+    parts = T.min_max(cut_lineage(_two_lists(spark, sf_dir)))
+    two = parts.groupBy("query_id", "doc_id").agg(F.coalesce(F.max(F.when(F.col("component") == "bm25", F.col("normal"))), F.lit(0.0)).alias("b"), F.coalesce(F.max(F.when(F.col("component") == "tfidf", F.col("normal"))), F.lit(0.0)).alias("t"))
+    return _grid_hits(spark, sf_dir, two)
+
+
+def _grid_hits(spark, sf_dir, two):
     from pyspark.sql import Window
 
     grid = spark.range(21).select((F.col("id") / 20.0).alias("weight"))
-    parts = T.min_max(cut_lineage(_two_lists(spark, sf_dir)))
-    two = parts.groupBy("query_id", "doc_id").agg(F.coalesce(F.max(F.when(F.col("component") == "bm25", F.col("normal"))), F.lit(0.0)).alias("b"), F.coalesce(F.max(F.when(F.col("component") == "tfidf", F.col("normal"))), F.lit(0.0)).alias("t"))
     scored = two.crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("weight") * F.col("b") + (1 - F.col("weight")) * F.col("t"), 9))  # 21 weights
     rank = F.row_number().over(Window.partitionBy("weight", "query_id").orderBy(F.desc("score"), "doc_id"))
     hits = scored.withColumn("rank", rank).where("rank <= 5").join(_gold(spark, sf_dir), ["query_id", "doc_id"], "left_semi").groupBy("weight").agg(F.count("*").alias("hits"))
     return grid.join(hits, "weight", "left").select(F.round("weight", 2).alias("weight"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+# The same over every matching document. Their SQL is that of the cut queries without the limit on the lists.
+BOTH = ("bm25", "tfidf")
+
+
+def whole(name: str) -> str:
+    return ORACLE[name].replace(" WHERE rank <= 50", "")
+
+
+def _whole_pairs(spark, sf_dir):
+    return cut_lineage(T.side_by_side(_two_lists(spark, sf_dir, None), BOTH))
+
+
+def _whole_two(spark, sf_dir, k):
+    """(query_id, doc_id, b, t): scaled scores of all documents that any weight can bring among the k best."""
+    two = T.min_max_columns(_whole_pairs(spark, sf_dir), BOTH).select("query_id", "doc_id", F.col("bm25").alias("b"), F.col("tfidf").alias("t"))
+    return T.may_lead(two, k, "b", "t")
+
+
+@query(whole("ret_rrf"))
+def ret_rrf_whole(spark, sf_dir):
+    scores = cut_lineage(_two_lists(spark, sf_dir, None))
+    return T.reciprocal_rank_fusion(T.full_ranks(scores, ("query_id", "component")), {"bm25": 0.6, "tfidf": 0.4}, K)
+
+
+@query(whole("ret_hybrid"))
+def ret_hybrid_whole(spark, sf_dir):
+    scaled = T.min_max_columns(_whole_pairs(spark, sf_dir), BOTH)
+    return T.top_k(scaled.select("query_id", "doc_id", (0.55 * F.col("bm25") + 0.45 * F.col("tfidf")).alias("score")), K)
+
+
+@query(whole("win_gold_ranks"))
+def win_gold_ranks_whole(spark, sf_dir):
+    scores = cut_lineage(T.bm25(_index(spark, sf_dir), _doc_queries(spark, sf_dir), None))
+    n = table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id").alias("n"))
+    gold = _gold(spark, sf_dir).join(T.full_ranks(scores).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+    return gold.crossJoin(F.broadcast(n)).select("query_id", "doc_id", F.coalesce("rank", "n").cast("bigint").alias("gold_rank"))  # one row
+
+
+@query(whole("evl_weight_grid"))
+def evl_weight_grid_whole(spark, sf_dir):
+    return _grid_hits(spark, sf_dir, _whole_two(spark, sf_dir, 5))

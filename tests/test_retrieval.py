@@ -89,3 +89,19 @@ def test_metrics(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "actual string, predicted string")
     c = {r.label: r for r in E.class_metrics(pairs).collect()}
     assert c["b"].precision == round(1 / 3, 6) and c["b"].recall == 1 and c["c"].f1 == 0 and c["a"].support == 2
+
+
+def test_whole_rankings_reach_beyond_any_depth(spark):
+    """Ranks past 50 stay ranks, in ranges of any size; the 60th document keeps a share of its scaled score."""
+    scores = [(q, d, float((d * 7) % 40), c) for q in (1, 2) for d in range(1, 121) for c in ("bm25", "tfidf")]
+    s = spark.createDataFrame(scores, "query_id bigint, doc_id bigint, score double, component string")
+    want = {(q, c, d): i for q in (1, 2) for c in ("bm25", "tfidf") for i, (_, d) in enumerate(sorted((-float((d * 7) % 40), d) for d in range(1, 121)), 1)}
+    for size in (7, 100_000):
+        assert {(r.query_id, r.component, r.doc_id): r["rank"] for r in T.full_ranks(s, ("query_id", "component"), size).collect()} == want
+    scaled = T.min_max_columns(T.side_by_side(s, ("bm25", "tfidf")), ("bm25", "tfidf"))
+    assert {(r.query_id, r.doc_id): round(r.bm25, 6) for r in scaled.collect()} == {(q, d): round((d * 7) % 40 / 39, 6) for q in (1, 2) for d in range(1, 121)}
+    two = scaled.withColumn("tfidf", 1 - F.col("bm25"))
+    lead = {r.doc_id for r in T.may_lead(two, 5, "bm25", "tfidf").where("query_id = 1").collect()}
+    for w in range(21):
+        best = sorted((-(w / 20 * ((d * 7) % 40) / 39 + (1 - w / 20) * (1 - (d * 7) % 40 / 39)), d) for d in range(1, 121))[:5]
+        assert {d for v, d in best if v < best[-1][0] - 1e-9} <= lead
