@@ -29,6 +29,18 @@ def section_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("parsed_id", F.explode("sections").alias("part", "text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
+# Order of sections in a paper; others follow by name.
+SECTION_ORDER = ("abstract", "introduction", "related_work", "method", "results", "discussion", "limitations", "conclusion")
+
+
+def section_texts(parsed: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts of all sections of a paper in order, as an array."""
+    known = F.array(*[F.lit(p) for p in SECTION_ORDER])
+    others = F.transform(F.array_sort(F.filter(F.map_entries("sections"), lambda e: ~F.array_contains(known, e["key"]))), lambda e: e["value"])
+    texts = F.concat(F.transform(known, lambda p: F.try_element_at("sections", p)), others)
+    return parsed.select(F.col("parsed_id").alias("doc_id"), F.filter(texts, lambda t: F.trim(F.coalesce(t, F.lit(""))) != "").alias("text"))
+
+
 def structural_checks(parsed: DataFrame) -> DataFrame:
     """(parsed_id, finding): what the structure of a paper lacks."""
     size = lambda part: F.length(F.coalesce(F.col("sections")[part], F.lit("")))
@@ -54,11 +66,13 @@ def reference_counts(parsed: DataFrame) -> DataFrame:
 
 
 def extractive_summary(docs: DataFrame, n: int, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """(doc_id, place, sentence): the n sentences of each document that PageRank over word-overlap cosine puts first.
+    """(doc_id, place, sentence): the n sentences of each document that PageRank over TF-IDF cosine puts first.
 
-    The sentence graph belongs to one document, so the ranking runs document by document inside the tasks.
+    ``text`` is one text or an array of them; no sentence spans two. idf is ln((1 + n) / (1 + df)) + 1 over the n
+    sentences of the document. The sentence graph belongs to one document, so the ranking runs document by document inside the tasks.
     """
-    split = docs.where("doc_id is not null").select("doc_id", X.sentences(F.col("text")).alias("s")).where(F.size("s") > 0).select("doc_id", "s", F.transform("s", X.content_tokens).alias("w"))
+    sentences = F.flatten(F.transform("text", X.sentences)) if dict(docs.dtypes)["text"].startswith("array") else X.sentences(F.col("text"))
+    split = docs.where("doc_id is not null").select("doc_id", sentences.alias("s")).where(F.size("s") > 0).select("doc_id", "s", F.transform("s", X.content_tokens).alias("w"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,6 +83,7 @@ def extractive_summary(docs: DataFrame, n: int, damping: float = 0.85, rounds: i
                 for i, ws in enumerate(words):
                     for t in ws:
                         m[i, vocab[t]] += 1
+                m *= np.log((1 + len(sents)) / (1 + (m > 0).sum(axis=0))) + 1
                 norm = np.linalg.norm(m, axis=1, keepdims=True)
                 m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
                 rank = np.full(len(sents), 1 / len(sents))

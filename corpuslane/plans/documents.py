@@ -153,7 +153,7 @@ def nlp_gazetteer_metrics(spark, sf_dir):
 
 @query()
 def nlp_extractive_summary(spark, sf_dir):
-    return D.extractive_summary(D.section_rows(D.current(table(spark, sf_dir, "parsed_papers"))).where("part = 'results'").select(F.col("parsed_id").alias("doc_id"), "text"), 3)
+    return D.extractive_summary(D.section_texts(D.current(table(spark, sf_dir, "parsed_papers"))), 5)
 
 
 @query(f"""WITH {PARSED}, r AS (SELECT parsed_id, unnest(reference_entries) AS entry FROM pp), k AS (SELECT parsed_id, entry, trim(regexp_replace(lower(entry), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k FROM r WHERE length(entry) >= 20 AND regexp_matches(entry, '\\p{{L}}'))

@@ -68,3 +68,13 @@ def test_documents(spark):
     s = D.extractive_summary(docs, 2).collect()
     assert [r.place for r in s if r.doc_id == 1] == sorted(r.place for r in s if r.doc_id == 1) and "Zeta" not in " ".join(r.sentence for r in s if r.doc_id == 1)
     assert {r.doc_id for r in s} == {1, 4}
+
+
+def test_summary_reads_all_sections_with_tfidf(spark):
+    rows = [(1, {"zz": "Last words of it", "method": "We build a parser. We test a parser.", "abstract": "We show a parser"}), (2, {"method": "A sole sentence."}), (3, None)]
+    texts = D.section_texts(spark.createDataFrame(rows, "parsed_id bigint, sections map<string,string>"))
+    got = [(r.doc_id, r.place, r.sentence) for r in D.extractive_summary(texts, 5).orderBy("doc_id", "place").collect()]
+    assert got == [(1, 0, "We show a parser"), (1, 1, "We build a parser."), (1, 2, "We test a parser."), (1, 3, "Last words of it"), (2, 0, "A sole sentence.")]
+    # Common words bind many sentences weakly by TF-IDF; rare ones bind two strongly.
+    docs = spark.createDataFrame([(1, "corpus alpha. corpus beta. corpus gamma. corpus delta. rare unit zeta corpus. rare unit eta corpus.".replace(". ", ". C"))], "doc_id bigint, text string")
+    assert {r.place for r in D.extractive_summary(docs, 2).collect()} == {4, 5}
