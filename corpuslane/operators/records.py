@@ -94,13 +94,29 @@ def quotas(strata: DataFrame, total: int, weights: dict[str, int]) -> DataFrame:
     return split.withColumn("_left", left).withColumn("_order", order).select("category", "bucket", (F.col("_floor") + F.when(F.col("_order") <= F.col("_left"), 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
-def stratified_sample(rows: DataFrame, strata: list[str], quota: Column, key: str, seed: str) -> DataFrame:
-    """At most ``quota`` rows of each stratum, by seeded hash order.
+def hash_ranks(rows: DataFrame, strata: list[str], key: str, seed: str, digits: int = 3) -> DataFrame:
+    """Adds ``_rn``, the place of each row in the seeded hash order of its stratum from 1, and ``_size``, the rows of the stratum.
 
-    Spark keeps only the first rows of a stratum in each task before the exchange, so a hot stratum moves little.
+    The leading hexadecimal digits of the hash cut a stratum into slices (at most 16 to the number of digits). Rows are
+    ranked inside slices and shifted by the rows of the slices before, so a hot stratum is never sorted in one task.
+    ``rows`` is read twice.
     """
-    order = F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, key), key))
-    return rows.withColumn("_rn", order).where(F.col("_rn") <= quota).drop("_rn")
+    cut = rows.withColumn("_hash", hash_order(seed, key)).withColumn("_slice", F.coalesce(F.substring("_hash", 1, digits), F.lit("")))
+    by = [F.col(c).alias(f"_by{i}") for i, c in enumerate(strata)]
+    group = Window.partitionBy(*[f"_by{i}" for i in range(len(strata))])
+    counts = cut.groupBy(*by, F.col("_slice").alias("_at")).agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_size", F.sum("_n").over(group)).drop("_n")
+    same = F.col("_slice") == F.col("_at")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_hash", key))
+    placed = cut.withColumn("_inside", inside).join(starts, same)
+    return placed.withColumn("_rn", F.col("_start") + F.col("_inside")).select(*rows.columns, "_rn", "_size")
+
+
+def stratified_sample(rows: DataFrame, strata: list[str], quota: Column, key: str, seed: str) -> DataFrame:
+    """At most ``quota`` rows of each stratum, by seeded hash order."""
+    return hash_ranks(rows, strata, key, seed).where(F.col("_rn") <= quota).drop("_rn", "_size")
 
 
 def split_by_hash(rows: DataFrame, key: str, seed: str, parts: tuple[tuple[str, int], ...]) -> DataFrame:
@@ -121,10 +137,8 @@ def split_by_hash(rows: DataFrame, key: str, seed: str, parts: tuple[tuple[str,
 
 def stratified_split(rows: DataFrame, key: str, label: str, seed: str, train_percent: int) -> DataFrame:
     """Exact shares within each label: the first floor(n * percent / 100) of the seeded order are ``train``."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(hash_order(seed, key), key))
-    cut = F.floor(F.count("*").over(w) * train_percent / 100)
-    return rows.withColumn("split", F.when(rank <= cut, "train").otherwise("test"))
+    cut = F.floor(F.col("_size") * train_percent / 100)
+    return hash_ranks(rows, [label], key, seed).withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_rn", "_size")
 
 
 def nearest_percentile(df: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:

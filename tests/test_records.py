@@ -75,3 +75,18 @@ def test_python_functions(spark):
     df = spark.createDataFrame([("abcd", "abcd"), ("abcd", "bcde"), (None, "a")], "a string, b string")
     assert [r.x for r in df.select(Y.sequence_ratio("a", "b").alias("x")).collect()] == [1.0, 0.75, None]
     assert [r.x for r in df.select(Y.first_json_object("a").alias("x")).collect()] == [None, None, None]
+
+
+def test_hash_ranks_cut_a_hot_stratum_into_slices(spark):
+    rows = [(k, None if k % 50 == 0 else "hot" if k % 10 else "cold") for k in range(2000)]
+    df = spark.createDataFrame(rows, "k bigint, s string")
+    want = {}
+    for s in {s for _, s in rows}:
+        order = sorted((k for k, x in rows if x == s), key=lambda k: hashlib.sha256(f"1:{k}".encode()).hexdigest())
+        want |= {k: (i, len(order)) for i, k in enumerate(order, 1)}
+    for digits in (1, 3):
+        assert {r.k: (r._rn, r._size) for r in R.hash_ranks(df, ["s"], "k", "1", digits).collect()} == want
+    for made in (R.stratified_sample(df, ["s"], F.lit(5), "k", "1"), R.stratified_split(df, "k", "s", "1", 80)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        windows = [x for x in plan.splitlines() if "row_number()" in x and "windowspecdefinition" in x]
+        assert windows and all("_slice" in x for x in windows)
