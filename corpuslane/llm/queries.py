@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslane.llm import defects, lookalike, names, packing, sampling, scans, tokens
-from corpuslane.runtime import cut_lineage, table
+from corpuslane.runtime import cut_lineage, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,10 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(defects.with_votes(defects.prepare(table(spark, sf_dir, "model_generations"), table(spark, sf_dir, "prompt_records"))))
+    """Votes on all responses and on the planted ones (a bounded sample), stored."""
+    generations, prompts = table(spark, sf_dir, "model_generations"), table(spark, sf_dir, "prompt_records")
+    every = spread(generations, tasks_per_core=1).select("generation_id", "prompt_id", "error", "text", F.lit(None).cast("string").alias("planted")).unionByName(defects.plant(generations, prompts))
+    return cut_lineage(defects.with_votes(defects.prepare(every, prompts)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.labels(_votes(spark, sf_dir))
+    return defects.labels(_votes(spark, sf_dir)).select("generation_id", "defect", "posterior")
+
+
+def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(defects.validated_cutoffs(defects.pattern_odds(_votes(spark, sf_dir))[0]))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_text": p4_text,
     "p5_found": p5_found,
     "p5_labels": p5_labels,
+    "p5_cutoffs": p5_cutoffs,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
     "p7_report": p7_report,
