@@ -12,9 +12,13 @@ splitting makes regular are split by the way that leaves the most regular ones;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslane.runtime import cut_lineage, spread
+
 # Separators outside quotes are marked by control characters while ways of splitting are compared.
 MARKS = {";": "\u0001", "|": "\u0002", "\n": "\u0003", "\t": "\u0004", "/": "\u0005", " and ": "\u0006", "&": "\u0007", ",": "\u000e"}
 STRONG, WORD, COMMA, PAIR = "\u0001\u0002\u0003\u0004\u0005", "\u0006\u0007", "\u000e", "\u000f"
@@ -124,6 +128,10 @@ def _layout(value: Column, marked: Column) -> Column:
     return F.concat_ws("|", present, quoted, _comma_shapes(marked))
 
 
+#: Share of a way's score that follows the steadiness of its piece counts.
+STEADY_WEIGHT = 0.2
+
+
 def packed_fields(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(key, field_name, raw) of the fields that hold something; repeated rows count once."""
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), _strip(F.col(f)).alias("raw")) for f in fields]))
@@ -147,9 +155,10 @@ def layout_scores(prepared: DataFrame) -> DataFrame:
     good = lambda p: F.when(F.col("kind") == "authors", p.rlike(WHOLE)).otherwise(p.rlike(WHOLE_CODE))
     n = F.size("pieces")
     share = F.when(n > 0, F.size(F.filter("pieces", good)) / n).otherwise(0.0)
+    # Steadiness counts for a fifth, so between ways that leave pieces about equally regular the steadier one wins.
     scored = e.groupBy("kind", "layout", "way").agg(F.count("*").alias("rows"), F.avg(share).alias("regularity"), F.avg(n).alias("mean"), F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias("sd"))
     steady = 1 / (1 + F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(0.0))
-    return scored.withColumn("steadiness", steady).withColumn("score", F.round(F.col("regularity") * (0.95 + 0.05 * F.col("steadiness")), 6)).drop("mean", "sd")
+    return scored.withColumn("steadiness", steady).withColumn("score", F.round(F.col("regularity") * (1 - STEADY_WEIGHT + STEADY_WEIGHT * F.col("steadiness")), 6)).drop("mean", "sd")
 
 
 WAY_ORDER = ("strong", "words", "commas", "comma_pairs", "blanks", "whole")
@@ -158,17 +167,18 @@ WAY_ORDER = ("strong", "words", "commas", "comma_pairs", "blanks", "whole")
 def best_ways(scores: DataFrame) -> DataFrame:
     """The winning way of each layout; ties go to the order of WAY_ORDER."""
     rank = F.array_position(F.array(*[F.lit(w) for w in WAY_ORDER]), F.col("way"))
-    order = Window.partitionBy("kind", "layout").orderBy(F.desc(F.round("regularity", 3)), F.desc("score"), rank)
+    order = Window.partitionBy("kind", "layout").orderBy(F.desc("score"), rank)
     return scores.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("kind", "layout", "way")
 
 
-def split_packed(df: DataFrame, key: str = "flat_id", kinds: dict[str, str] | None = None) -> DataFrame:
+def split_packed(df: DataFrame, key: str = "flat_id", kinds: dict[str, str] | None = None, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """(key, field_name, pos, item): one row for each value of the packed fields of ``df``.
 
     ``kinds`` says for each field whether its values are people and organisations (``authors``) or subject codes
     (``categories``). Layouts are few whatever the input (bounded by the separators and part kinds that may occur).
+    ``cut`` stores the fields split in every way, so they are split once for scoring and for the result.
     """
-    prepared = _prepared(df, key, kinds or {"authors": "authors", "categories": "categories"})
+    prepared = cut(_prepared(spread(df, tasks_per_core=1), key, kinds or {"authors": "authors", "categories": "categories"}))
     chosen = best_ways(layout_scores(prepared))
     joined = prepared.join(chosen, ["kind", "layout"], "left")
     pieces = F.coalesce(F.col("items"), F.get(F.filter("ways", lambda w: w["way"] == F.col("way")), F.lit(0))["pieces"])

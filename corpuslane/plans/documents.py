@@ -168,10 +168,10 @@ def grd_output_forms(spark, sf_dir):
     return generations(spark, sf_dir).groupBy(D.output_form(F.col("text")).alias("form")).agg(F.count("*").alias("outputs"))
 
 
-@query("""WITH g AS (SELECT DISTINCT generation_id, task, model, strategy, latency_seconds, error FROM model_generations), c AS (SELECT coalesce(task, '-') AS task, strategy, count(*) AS n, round(avg(latency_seconds), 6) AS latency, count(error) AS errors FROM g GROUP BY 1, 2) SELECT * FROM c""")
+@query("""WITH g AS (SELECT DISTINCT generation_id, task, model, strategy, latency_seconds, error FROM model_generations), c AS (SELECT coalesce(task, '-') AS task, strategy, count(*) AS n, CAST(sum(CAST(latency_seconds AS DECIMAL(18, 6))) AS DOUBLE) AS latency_sum, count(latency_seconds) AS timed, count(error) AS errors FROM g GROUP BY 1, 2) SELECT task, strategy, n, round(latency_sum / timed, 4) AS latency, errors FROM c""")
 def grd_strategy_grid(spark, sf_dir):
     g = table(spark, sf_dir, "model_generations").select("generation_id", "task", "model", "strategy", "latency_seconds", "error").distinct()
-    return g.groupBy(F.coalesce("task", F.lit("-")).alias("task"), "strategy").agg(F.count("*").alias("n"), F.round(F.avg("latency_seconds"), 6).alias("latency"), F.count("error").alias("errors"))
+    return g.groupBy(F.coalesce("task", F.lit("-")).alias("task"), "strategy").agg(F.count("*").alias("n"), F.round(F.sum(F.col("latency_seconds").cast("decimal(18,6)")).cast("double") / F.count("latency_seconds"), 4).alias("latency"), F.count("error").alias("errors"))
 
 
 @query("""WITH g AS (SELECT DISTINCT generation_id, prompt_id, task, text FROM model_generations WHERE text IS NOT NULL AND trim(text, E' ') <> '') SELECT g.generation_id, p.task || '|' || p.style AS tag, 3 AS messages, length(p.prompt_text) AS user_chars, length(g.text) AS assistant_chars FROM g JOIN (SELECT DISTINCT * FROM prompt_records) p USING (prompt_id)""")

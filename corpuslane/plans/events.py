@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslane.operators import sessions as E
-from corpuslane.runtime import table
+from corpuslane.runtime import local_folder, table
 from corpuslane.sources import files
 from corpuslane.streaming import rollup
 
@@ -88,7 +88,7 @@ def str_stream_rollup(spark, sf_dir):
 def src_jsonl_round_trip(spark, sf_dir):
     """Documents written as JSON lines to the shared folder and read again with bad lines marked."""
     d = table(spark, sf_dir, "documents")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or __import__("tempfile").mkdtemp(prefix="corpuslane-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(spark)
     path = f"{base}/documents-{uuid.uuid4().hex}"
     files.write_jsonl(d, path)
     back = files.read_jsonl(spark, path, d.schema, "mark")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from corpuslane.runtime import local_folder
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ def run_available(stream: DataFrame, keys: list[str], folder: str | None = None)
     the shared folder of the session (spark.checkpoint.dir), or to a new local one where none is set.
     """
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpuslane-stream-")
+    base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(spark)
     place = f"{base}/stream-{uuid.uuid4().hex}"
     values = [c for c in stream.columns if c not in keys]
 

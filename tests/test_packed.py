@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslane.operators import packed
 
@@ -56,3 +57,19 @@ def test_empty_table_null_key_and_long_field(spark):
     got, _ = split(spark, [(1, many, 'a "lone quote', None, None), (None, "Jane Doe; John Smith", None, None, None)])
     assert len(got[(1, "authors")]) == 3000 and got[(None, "authors")] == ["Jane Doe", "John Smith"]
     assert got[(1, "categories")]
+
+
+def test_steadier_way_wins_between_equally_regular_ones(spark):
+    rows = [("authors", "L", w, 10, r, s) for w, r, s in (("strong", 0.9, 0.4), ("comma_pairs", 0.9, 1.0), ("whole", 0.1, 1.0))]
+    scores = spark.createDataFrame(rows, "kind string, layout string, way string, rows long, regularity double, steadiness double")
+    weighed = scores.withColumn("score", F.col("regularity") * (1 - packed.STEADY_WEIGHT + packed.STEADY_WEIGHT * F.col("steadiness")))
+    assert [r.way for r in packed.best_ways(weighed).collect()] == ["comma_pairs"]
+
+
+def test_steadiness_is_measured_by_layout(spark):
+    """Of two ways with like pieces, the one whose piece counts hardly vary scores higher."""
+    way = lambda name, n: (name, ["Jane Doe"] * n)
+    rows = [("authors", None, "L", [way("even", 2), way("odd", 1 if i % 2 else 9)]) for i in range(20)]
+    prepared = spark.createDataFrame(rows, "kind string, items array<string>, layout string, ways array<struct<way:string,pieces:array<string>>>")
+    got = {r.way: r for r in packed.layout_scores(prepared).collect()}
+    assert got["even"].regularity == got["odd"].regularity == 1.0 and got["even"].steadiness == 1.0 and got["odd"].score < got["even"].score
