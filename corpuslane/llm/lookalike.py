@@ -7,10 +7,10 @@ and words and text rebuilt. Both tables follow from Unicode data or are short fi
 
 What becomes one form: canonical equivalents, full-width and half-width forms, Latin ligatures, zero-width and
 soft-hyphen characters (dropped), blanks of any width (a space), hyphens U+2010 and U+2011, and letters of other
-scripts drawn like Latin ones. Everything else, such as case, superscripts or quotes, stays different.
+scripts drawn like Latin ones; conjoining Hangul letters become syllables. Everything else, such as case, superscripts or quotes, stays different.
 
 Defined results for odd input: null text has a null form; empty text the empty form; texts without a visible
-character are in no pair; Hangul stays as stored; repeated rows count once.
+character are in no pair; Hangul letters that make no syllable stay as stored; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def _composition_pairs(decompositions: dict[str, str]) -> dict[str, str]:
 
 def _unsettled_class(decompositions: dict[str, str]) -> str:
     """A regular expression class of characters whose presence means that a text may change."""
-    odd = {ord(c) for c in LOOKALIKES}
+    odd = {ord(c) for c in LOOKALIKES} | set(range(0x1160, 0x1200))  # vowels and finals join what stands before them
     for ch, full in decompositions.items():
         settled = unicodedata.normalize("NFC", ch) == ch and not any(c in LOOKALIKES for c in full) and unicodedata.normalize("NFC", full) == ch
         if not settled:
@@ -91,25 +91,37 @@ class Tables:
         self.decompositions = _decompositions()
         self.pairs = _composition_pairs(self.decompositions)
         self.unsettled = _unsettled_class(self.decompositions)
-        self.classes = {chr(cp): unicodedata.combining(chr(cp)) for cp in range(0x300, 0x20D0 + 0x30) if unicodedata.combining(chr(cp)) not in (0, 230)}
+        self.classes = {chr(cp): c for cp in range(0x300, 0x20000) if (c := unicodedata.combining(chr(cp))) not in (0, 230)}
+        self.by_mark: dict[str, dict[str, str]] = {}
+        for both, made in self.pairs.items():
+            self.by_mark.setdefault(both[1], {})[both[0]] = made
 
 
-def _literal_map(entries: dict[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+def _mark_class(mark: Column, tables: Tables) -> Column:
+    """Combining class of a mark: one test a class, as most classes have many marks."""
+    by_class: dict[int, str] = {}
+    for ch, c in tables.classes.items():
+        by_class[c] = by_class.get(c, "") + ch
+    return F.coalesce(*[F.when(F.contains(F.lit(chars), mark), F.lit(c)) for c, chars in by_class.items()], F.lit(230))
+
+
+def _joined(base: Column, mark: Column, tables: Tables) -> Column:
+    """The character that a base and a mark compose into; the base itself if there is none."""
+    out = base
+    for m, pairs in tables.by_mark.items():
+        out = F.when(mark == m, F.translate(base, "".join(pairs), "".join(pairs.values()))).otherwise(out)
+    return out
 
 
 def _compose(cluster: Column, tables: Tables) -> Column:
     """One base with its marks: marks in class order, then composed where no mark of the same class stands between."""
     chars = F.split(cluster, "")
-    classes = _literal_map(tables.classes)
-    pairs = _literal_map(tables.pairs)
-    cls = lambda m: F.coalesce(F.try_element_at(classes, m), F.lit(230))
-    marks = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda m, i: F.struct(cls(m).alias("c"), i.alias("i"), m.alias("m")))
+    marks = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda m, i: F.struct(_mark_class(m, tables).alias("c"), i.alias("i"), m.alias("m")))
     start = F.struct(F.get(chars, F.lit(0)).alias("base"), F.lit("").alias("kept"), F.lit(0).alias("last"))
 
     def step(state: Column, mark: Column) -> Column:
-        made = F.try_element_at(pairs, F.concat(state["base"], mark["m"]))
-        joins = made.isNotNull() & (state["last"] < mark["c"])
+        made = _joined(state["base"], mark["m"], tables)
+        joins = (made != state["base"]) & (state["last"] < mark["c"])
         return F.struct(
             F.when(joins, made).otherwise(state["base"]).alias("base"), F.when(joins, state["kept"]).otherwise(F.concat(state["kept"], mark["m"])).alias("kept"), F.when(joins, state["last"]).otherwise(mark["c"]).alias("last")
         )
@@ -117,6 +129,19 @@ def _compose(cluster: Column, tables: Tables) -> Column:
     return F.aggregate(F.array_sort(marks), start, step, lambda s: F.concat(s["base"], s["kept"]))
 
 
+JAMO = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
+
+
+def _syllable(jamo: Column) -> Column:
+    """The Hangul syllable of a leading letter, a vowel and perhaps a final, or of an open syllable and a final."""
+    code = lambda i: F.ascii(F.substr(jamo, F.lit(i), F.lit(1)))
+    last = F.when(F.length(jamo) == 3, code(3) - 0x11A7).otherwise(0)
+    whole = F.when(code(1) >= 0xAC00, code(1) + code(2) - 0x11A7).otherwise(0xAC00 + ((code(1) - 0x1100) * 21 + code(2) - 0x1161) * 28 + last)
+    # A closed syllable takes no further final.
+    closed = (code(1) >= 0xAC00) & ((code(1) - 0xAC00) % 28 != 0)
+    return F.when(closed, jamo).otherwise(F.decode(F.unhex(F.lpad(F.hex(whole), 4, "0")), "UTF-16BE"))
+
+
 def one_form(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, form): every distinct (key, text) of ``df`` with its consistent form."""
     spark: SparkSession = df.sparkSession
@@ -130,33 +155,43 @@ def one_form(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     # Words and blanks in turn; only words with unsettled characters are taken apart.
     words = F.posexplode(F.regexp_extract_all("_t", F.lit(r"([ \t\r\n]+|[^ \t\r\n]+)"), 1))
-    parted = rows.where(odd).withColumn("_s", F.md5("_t")).repartition("_k", "_s").select("_k", "_s", "_t", words.alias("_w", "_word"))
+    parted = rows.where(odd).withColumn("_s", F.md5("_t")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k", "_s").select("_k", "_s", "_t", words.alias("_w", "_word"))
     parted = parted.withColumn("_odd", F.col("_word").rlike(tables.unsettled))
     points = parted.select("_k", "_s", "_w", F.when(F.col("_w") == 0, F.col("_t")).alias("_t"), F.posexplode(F.when(F.col("_odd"), F.split("_word", "")).otherwise(F.array("_word"))).alias("_p", "ch"))
     full = points.join(F.broadcast(decomposition), "ch", "left").withColumn("full", F.coalesce("full", "ch"))
     pieces = full.select("_k", "_s", "_w", "_t", "_p", F.posexplode(F.when(F.length("ch") > 2, F.array("full")).otherwise(F.split("full", ""))).alias("_i", "piece"))
     mapped = pieces.join(F.broadcast(lookalike), "piece", "left").select("_k", "_s", "_w", "_t", "_p", "_i", F.coalesce("latin", "piece").alias("piece"))
-    ordered = F.array_sort(F.collect_list(F.struct("_w", "_p", "_i", "piece")))
-    rebuilt = mapped.groupBy("_k", "_s").agg(ordered.alias("_all"), F.max("_t").alias("_t"))
+    # A word is put together from its code points, then the text from its words; both stay in the task of their text.
+    one_word = mapped.groupBy("_k", "_s", "_w").agg(F.array_sort(F.collect_list(F.struct("_p", "_i", "piece"))).alias("_all"), F.max("_t").alias("_t"))
     loose = F.array_join(F.transform("_all", lambda p: p["piece"]), "")
     # Runs without marks pass whole; a base with marks is composed.
-    clusters = F.regexp_extract_all(loose, F.lit(r"((?:\P{M}(?!\p{M}))+|\P{M}\p{M}+|\p{M}+)"), 1)
-    form = F.array_join(F.transform(clusters, lambda c: F.when(c.rlike(r"\p{M}"), _compose(c, tables)).otherwise(c)), "")
-    changed = rebuilt.select("_k", "_t", form.alias("form"))
+    clusters = F.regexp_extract_all(loose, F.lit(rf"({JAMO}|(?:(?!{JAMO})\P{{M}}(?!\p{{M}}))+|\P{{M}}\p{{M}}+|\p{{M}}+)"), 1)
+    form = F.array_join(F.transform(clusters, lambda c: F.when(c.rlike(r"\p{M}"), _compose(c, tables)).when(c.rlike(rf"^(?:{JAMO})$"), _syllable(c)).otherwise(c)), "")
+    whole = F.when(loose.rlike(rf"\p{{M}}|{JAMO}"), form).otherwise(loose)
+    rebuilt = one_word.select("_k", "_s", "_w", "_t", whole.alias("_word")).groupBy("_k", "_s").agg(F.array_sort(F.collect_list(F.struct("_w", "_word"))).alias("_all"), F.max("_t").alias("_t"))
+    changed = rebuilt.select("_k", "_t", F.array_join(F.transform("_all", lambda p: p["_word"]), "").alias("form"))
     return settled.unionByName(changed).select(F.col("_k").alias(key), F.col("_t").alias(text), "form")
 
 
+def form_members(forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, form_id, spelling, spellings): each visible text's form and stored spelling as digests, and how many spellings the form has.
+
+    One row a document, however many copies a form has; :func:`same_looking_pairs` expands them.
+    """
+    visible = F.length(F.regexp_replace("form", r"[\s\p{Z}\p{Cf}]", "")) > 0
+    docs = forms.where(visible & F.col(key).isNotNull()).select(F.col(key), F.sha2("form", 256).alias("form_id"), F.sha2(F.col(text), 256).alias("spelling")).distinct()
+    several = docs.select("form_id", "spelling").distinct().groupBy("form_id").agg(F.count("*").alias("spellings")).where("spellings > 1")
+    return docs.join(several, "form_id").select(key, "form_id", "spelling", "spellings")
+
+
 def same_looking_pairs(forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_a, doc_b): documents of one form stored with different characters.
 
     Pairs are made between distinct texts first and only then between documents, so copies of one text, however
     many, are never compared with each other.
     """
-    visible = F.length(F.regexp_replace("form", r"[\s\p{Z}\p{Cf}]", "")) > 0
-    docs = forms.where(visible & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.sha2("form", 256).alias("f"), F.sha2(F.col(text), 256).alias("t"))
+    docs = form_members(forms, key, text).select(F.col(key).alias("id"), F.col("form_id").alias("f"), F.col("spelling").alias("t"))
     variants = docs.select("f", "t").distinct()
-    several = variants.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    variants = variants.join(several, "f", "left_semi")
     pairs = variants.select("f", F.col("t").alias("ta")).join(variants.select("f", F.col("t").alias("tb")), "f").where("ta < tb")
     a, b = docs.select("f", F.col("t").alias("ta"), F.col("id").alias("a")), docs.select("f", F.col("t").alias("tb"), F.col("id").alias("b"))
     both = pairs.join(a, ["f", "ta"]).join(b, ["f", "tb"]).where("a <> b")

@@ -68,6 +68,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(sizes, table(spark, sf_dir, "container_sizes"), cut=cut_lineage)
 
 
+def p7_best_fit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report for best fit alone, to see what evolution adds."""
+    containers = table(spark, sf_dir, "container_sizes")
+    return packing.fill_report(packing.fill_containers(tokens.count_tokens(table(spark, sf_dir, "documents")), containers, cut=cut_lineage, generations=0), containers)
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_fill(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
@@ -76,6 +82,10 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.one_form(table(spark, sf_dir, "documents")).select("doc_id", "form")
 
 
+def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.form_members(lookalike.one_form(table(spark, sf_dir, "documents")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(cut_lineage(lookalike.one_form(table(spark, sf_dir, "documents"))))
 
@@ -94,8 +104,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
     "p7_report": p7_report,
+    "p7_best_fit_report": p7_best_fit_report,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
+    "p8_members": p8_members,
 }
 
 P1_BASE = """

@@ -36,3 +36,18 @@ def test_repeats_and_empty(spark):
     df = make(spark, [BASE, None])
     assert L.one_form(df.unionByName(df)).count() == 2
     assert L.one_form(df.where("false")).count() == 0 and L.same_looking_pairs(L.one_form(df.where("false"))).count() == 0
+
+
+def test_hangul_and_far_mark_classes_equal_nfc(spark):
+    texts = ["한국어 문장", "각각", "가", "힣 끝", "ᄀᄀ 홀로", "각ᆨ", "a\u0331\u1dc5\u0323\u20e8 x", "\u05e9\u05c1\u05bc", "\u0915\u093c\u094d"]
+    stored = [(i, unicodedata.normalize(how, t)) for i, t in enumerate(texts) for how in ("NFC", "NFD")]
+    got = L.one_form(spark.createDataFrame(stored, "doc_id bigint, text string")).collect()
+    for r in got:
+        assert r.form == unicodedata.normalize("NFC", texts[r.doc_id]), r
+
+
+def test_members_are_one_row_a_document(spark):
+    rows = [(i, "é" if i % 2 else "e\u0301") for i in range(300)] + [(1000, "alone"), (1001, None)]
+    forms = L.one_form(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    members = L.form_members(forms).collect()
+    assert len(members) == 300 and len({m.form_id for m in members}) == 1 and {m.spellings for m in members} == {2}
