@@ -2,8 +2,9 @@
 
 Names are read into a family part, a given part and middle initials, whatever their order. Spellings of parts that
 are one edit apart are found by metric-space partitioning under the Damerau-Levenshtein distance (a true metric):
-every string goes to the cell of its nearest pivot and is replicated to each cell whose pivot is so near that, by the
-triangle inequality, a neighbour could live there; an exact radius join runs inside the cells. Near parts bring
+a cell holds the strings with equal distances to the first pivots, and every string is replicated to the cells next to
+its own, as by the triangle inequality no neighbour's distance to a pivot can differ by more than the radius; distances
+to all further pivots sort out most pairs before an exact radius join runs inside the cells. Near parts bring
 near names together by equal keys, never by comparing all names of a group. Names that fit one entity are linked:
 equal middles first, then names that leave parts out, then initials; a name that fits several entities equally well
 is linked to none.
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 from corpuslane.runtime import cut_lineage
 
 RADIUS = 1
-PIVOTS_LEAST, PIVOTS_MOST, STRINGS_PER_PIVOT = 8, 256, 250
+#: Pivots are spread over a sample of so many strings at most, chosen by hash; cells are cut into rings beyond that.
+PIVOTS, PIVOT_SAMPLE = 12, 2_000
+#: A cell's key has the distances to this many pivots, one more for each tenfold of strings beyond RING_STRINGS.
+RINGS, RING_STRINGS = 3, 100_000
 #: A part seen in so many different names is a spelling of its own, not a slip of the pen.
 ESTABLISHED = 4
 #: ... unless the other spelling is so many times as common.
 SLIP_RATIO = 12
-SHORTEST_SLIP = 4
+SHORTEST_SLIP = 3
 
 PARTICLES = frozenset("van von der den de del della di da dos du la le ter ten bin al el zu zum".split())
 SUFFIXES = frozenset("jr sr ii iii iv".split())
@@ -117,13 +121,12 @@ def read_name(name: str) -> tuple[str, str, str, list[str], list[str]]:
     words = re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", plain)
     kinds = [k for w in words if (k := _kind(w))]
     if kinds and "," not in name or kinds and len(words) > 1 and len(kinds) >= 1:
-        rest = [w for w in words if not _kind(w) and w not in FILLERS and w not in ("research", "vision", "survey")]
-        extra = [w for w in words if w in ("research", "vision", "survey")]
+        rest = [w for w in words if not _kind(w) and w not in FILLERS]
         if "technology" in kinds:
             kinds = ["technology"]
         if "collaboration" in kinds:
             kinds = ["collaboration"]
-        return "org", "".join(rest), "".join(extra + sorted(set(kinds))), [], []
+        return "org", "".join(rest), "".join(sorted(set(kinds))), [], []
     squash = lambda w: re.sub(r"['’\-]", "", w)
     before, comma, after = plain.partition(",")
     raw_before = name.partition(",")[0]
@@ -188,34 +191,59 @@ def read_names(names: DataFrame) -> DataFrame:
     return settled.select(*columns).unionByName(decided.select(*columns))
 
 
-def near_strings(strings: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+def spread_pivots(sample: list[str], most: int = PIVOTS) -> list[str]:
+    """Strings of ``sample`` far from each other: each next one is the farthest from those chosen so far.
+
+    Strings over twice the middle length are no pivots: they are far from all others alike.
+    """
+    if not sample:
+        return []
+    middle = sorted(map(len, sample))[len(sample) // 2]
+    sample = [s for s in sample if len(s) <= 2 * middle]
+    chosen, nearest = [sample[0]], None
+    while len(chosen) < min(most, len(sample)):
+        d = distances(chosen[-1], sample)
+        nearest = d if nearest is None else np.minimum(nearest, d)
+        if nearest.max() == 0:
+            break
+        chosen.append(sample[int(nearest.argmax())])
+    return chosen
+
+
+def near_strings(strings: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage, report: dict | None = None) -> DataFrame:
     """(a, b), both orders: pairs of different strings of ``strings`` (column s) within RADIUS of each other.
 
-    The number of pivots follows the number of strings; pivots are drawn by hash and are few (PIVOTS_MOST at most),
-    so they go along with the tasks. In a cell, homes meet the strings replicated to it; the edit distance decides.
+    Few pivots far apart go along with the tasks. A cell is a length and the distances to the first pivots; a string's
+    own cell meets the cells next to it (all coordinates within RADIUS), so a big cell falls into as many rings as there
+    are distances, and more coordinates are taken as strings grow in number. ``report`` gets the number of rings and pivots.
     """
     strings = cut(strings.where(F.length("s") >= SHORTEST_SLIP).distinct())
-    pivots = min(PIVOTS_MOST, max(PIVOTS_LEAST, strings.count() // STRINGS_PER_PIVOT))
-    chosen = [r["s"] for r in strings.orderBy(F.xxhash64("s"), "s").limit(pivots).collect()]  # bounded by PIVOTS_MOST
-
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = strings.count()
+    sample = [r["s"] for r in strings.orderBy(F.xxhash64("s"), "s").limit(PIVOT_SAMPLE).collect()]  # bounded by PIVOT_SAMPLE
+    chosen = spread_pivots(sample)
+    rings = min(len(chosen), RINGS + max(0, len(str(n // RING_STRINGS)) - 1 + (n >= RING_STRINGS)))
+    if report is not None:
+        report.update(strings=n, pivots=len(chosen), rings=rings)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             # Strings of like length go together, as the longest sets the steps.
             frame = frame.sort_values("s", key=lambda s: s.str.len(), ignore_index=True)
-            for begin in range(0, len(frame), 2000):
-                part = [str(s) for s in frame["s"][begin : begin + 2000]]
-                if not part or not chosen:
-                    continue
-                d = np.stack([distances(p, part) for p in chosen])
-                home = d.argmin(axis=0)
-                near = d <= d.min(axis=0) + 2 * RADIUS
-                cell, at = np.nonzero(near)
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "s": [part[i] for i in at], "home": home[at] == cell, "n": [len(part[i]) for i in at]})
-
-    placed = cut(strings.where(F.length("s") <= 64).mapInPandas(cells, "cell int, s string, home boolean, n int"))
-    homes = placed.where("home").select("cell", F.col("s").alias("a"), F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)).alias("n"))
-    guests = placed.select("cell", F.col("s").alias("b"), "n")
-    joined = homes.join(guests, ["cell", "n"]).where((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 2) >= 0))
+            for begin in range(0, len(frame), 1000):
+                part = [str(s) for s in frame["s"][begin : begin + 1000]]
+                if part and chosen:
+                    yield pd.DataFrame({"s": part, "n": [len(s) for s in part], "d": list(np.stack([distances(p, part) for p in chosen], axis=1).astype(np.int32))})
+
+    placed = cut(strings.mapInPandas(place, "s string, n int, d array<int>"))
+    around = lambda c: F.explode(F.sequence(c - RADIUS, c + RADIUS))
+    homes = placed.select(F.col("s").alias("a"), F.col("d").alias("_da"), around(F.col("n")).alias("n"))
+    for i in range(rings):
+        homes = homes.select("*", around(F.get("_da", F.lit(i))).alias(f"r{i}"))
+    guests = placed.select(F.col("s").alias("b"), F.col("d").alias("_db"), "n", *[F.get("d", F.lit(i)).alias(f"r{i}") for i in range(rings)])
+    # Equal pairs meet once: the smaller string is the home. Further pivots sort out pairs before the edit distance.
+    apart = F.exists(F.zip_with("_da", "_db", lambda x, y: F.abs(x - y) > RADIUS), lambda x: x)
+    met = homes.join(guests, ["n", *[f"r{i}" for i in range(rings)]]).where((F.col("a") < F.col("b")) & ~apart)
+    joined = met.where(F.levenshtein("a", "b", 2) >= 0)
     # Two neighbouring letters changed places: one edit of the metric, two of the plain edit distance.
     chars = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: x != y)
     at = F.array_position(F.transform(chars, lambda x: x.cast("int")), 1).cast("int")
@@ -235,10 +263,10 @@ def slips(units: DataFrame, part: str, apart: str, cut: Callable[[DataFrame], Da
     return cut(pairs.where((rarer < ESTABLISHED) | (rarer * SLIP_RATIO <= other)).select("a", "b"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 30) -> DataFrame:
-    """(id, root): the smallest id that each node reaches over ``edges`` (a, b, both orders)."""
+def connected(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root): the smallest id that each node reaches over ``edges`` (a, b, both orders); runs until nothing moves."""
     state = cut(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(rounds):
+    while True:
         offered = edges.join(state.withColumnsRenamed({"id": "a", "root": "r"}), "a").groupBy(F.col("b").alias("id")).agg(F.min("r").alias("r"))
         after = state.join(offered, "id", "left").select("id", F.least("root", F.coalesce("r", "root")).alias("root"), (F.col("r") < F.col("root")).alias("moved"))
         # A node also takes the root of its root, which halves the way.
@@ -246,8 +274,7 @@ def connected(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], Dat
         after = cut(after.join(jump, "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"), "moved"))
         state = after.select("id", "root")
         if after.where("moved").limit(1).count() == 0:
-            break
-    return state
+            return state
 
 
 def link_names(papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
@@ -285,7 +312,7 @@ def link_names(papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_li
 
     # Initials join the one entity of the family that they fit best.
     brief = units.where((F.length("given") == 1) & (F.col("kind") == "person"))
-    full = whole.where("kind = 'person'").join(entity, "id").select(F.col("family").alias("f2"), F.substring("given", 1, 1).alias("given"), F.col("middle").alias("m2"), F.col("entity").alias("to"))
+    full = whole.where("kind = 'person'").join(entity, "id").select(F.col("family").alias("f2"), F.substring("given", 1, 1).alias("given"), F.col("middle").alias("m2"), F.col("entity").alias("to")).distinct()
     fits = brief.join(families.withColumnsRenamed({"a": "family", "b": "f2", "cost": "fc"}), "family").join(full, ["f2", "given"])
     fits = fits.where((F.col("middle") == F.col("m2")) | (F.col("middle") == "") | (F.col("m2") == ""))
     gap = F.when(F.col("middle") == F.col("m2"), 0).otherwise(1)

@@ -73,3 +73,35 @@ def test_near_strings_equals_brute_force(spark):
 
 def test_empty_and_long(spark):
     assert pairs(spark, []) == set() and pairs(spark, [["Jane " + "x" * 5000]]) == set()
+
+
+def test_long_short_and_chained_spellings(spark):
+    long = "squashed" * 9  # 72 letters
+    strings = [long, long[:40] + long[41:], "kim", "kin", "lee", "le"]
+    got = {(x.a, x.b) for x in N.near_strings(spark.createDataFrame([(s,) for s in strings], "s string")).collect()}
+    assert {(long, strings[1]), ("kim", "kin"), ("kin", "kim")} <= got and not any("le" in p for p in got)
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(150)]
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "a string, b string")
+    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(151)] + [("z",)], "id string")
+    roots = {r.id: r.root for r in N.connected(nodes, both, N.cut_lineage).collect()}
+    assert roots == {f"n{i:03d}": "n000" for i in range(151)} | {"z": "z"}
+
+
+def test_few_pairs_reach_the_edit_distance():
+    """Share of the pairs of like length that pass all pivots, over made-up surnames; greatest cell."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(11)
+    strings = list({"".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") + r.choice(["", "", "n", "r", "l"]) for _ in range(r.randint(2, 4))) for _ in range(4000)})
+    chosen = N.spread_pivots(strings[: N.PIVOT_SAMPLE])
+    d = np.stack([N.distances(p, strings) for p in chosen], axis=1)
+    n = np.array([len(s) for s in strings])
+    like = passed = 0
+    for i in range(0, len(strings), 20):
+        near = abs(n - n[i]) <= 1
+        like += near.sum() - 1
+        passed += (near & (abs(d - d[i]) <= 1).all(axis=1)).sum() - 1
+    cells = np.unique(np.column_stack([n, d[:, : N.RINGS]]), axis=0, return_counts=True)[1]
+    assert passed < 0.1 * like and cells.max() < 0.1 * len(strings)
