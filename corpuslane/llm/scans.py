@@ -1,20 +1,22 @@
 """Problem 4: repair text extracted from scanned pages.
 
 Lines that stand at page edges are found first: page numbers by their form and by forming a sequence in a document,
-running headers by fuzzy repetition at page edges (in the document, or in the corpus), or by being the head of the
-document's own title. The rest are body lines. Words broken at line ends are joined with or without their hyphen,
+running headers by fuzzy repetition at page edges (in the document, or in the corpus): lines whose letters differ by
+few edits are one header. Being the head of the document's own title, an author line or numbers that run on support
+headers that stand only once in their document. The rest are body lines. Words broken at line ends are joined with or without their hyphen,
 whichever form the corpus vocabulary knows better; misread words are mapped to a much more frequent vocabulary word
 from which common misreadings lead to them. The vocabulary is counted over all body lines of the corpus.
 
-Defined results for odd input: null or empty sections and entries give nothing; repeated rows count once; words of
-more than 40 characters are left as they are; a lone page number is accepted when the document has no other.
+Defined results for odd input: null or empty sections and entries give nothing; repeated rows count once; a lone page number is accepted when the document has no other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,10 @@ READ_FOR = {
     "cl": ("d",), "c1": ("d",), "q": ("g",), "6": ("b",), "y": ("v",), "b": ("h",), "m": ("in",), "vv": ("w",), "w": ("vi",), "d": ("cl",), "8": ("b",), "9": ("g",), "3": ("e",), "|": ("l", "i"), "$": ("s",), "!": ("i", "l"), "f": ("t",), "nn": ("m",), "li": ("h",), "e": ("c",), "v": ("y",),
 }
 SYMBOLS = "+@015698|$!"
-LONGEST_WORD = 40
+#: Longer words have so many possible printed forms that they are matched by their folded letters instead.
+LONG_WORD = 40
+#: Share of letters in which two lines of one running header may differ, and the bits of the filter of known words.
+HEADER_EDITS, FILTER_BITS = 0.15, 1 << 24
 #: A printed word must be so many times as frequent as its misread form.
 FREQUENCY_RATIO = 8.0
 #: A header line at a page edge must occur in so many documents to be known corpus-wide.
@@ -73,7 +78,7 @@ def mark_edges(lines: DataFrame) -> DataFrame:
     inside = F.regexp_extract("line", r"^(?:(\d{1,5})\s+\D.*|.*\D\s+(\d{1,5}))$", 1)
     outside = F.regexp_extract("line", r"^(?:(\d{1,5})\s+\D.*|.*\D\s+(\d{1,5}))$", 2)
     carried = F.coalesce(F.nullif(inside, F.lit("")), F.nullif(outside, F.lit(""))).cast("int")
-    m = lines.withColumn("number", number).withColumn("carried", F.when((F.length("line") <= 110) & number.isNull(), carried))
+    m = lines.withColumn("number", number).withColumn("carried", F.when(number.isNull(), carried))
     # Page numbers, and numbers carried by headers, go up by one from page to page.
     m = m.withColumn("shown", F.coalesce("number", "carried"))
     only_numbers = F.col("number").isNotNull()
@@ -84,23 +89,24 @@ def mark_edges(lines: DataFrame) -> DataFrame:
     m = m.withColumn("page", F.coalesce(is_page, F.lit(False)))
 
     key = F.regexp_replace(F.regexp_replace("line", r"^\d{1,5}\s+(?=\D)|\s+\d{1,5}$", ""), r"\s+", " ")
-    m = m.withColumn("bare", F.when(~F.col("page") & (F.length("line") <= 140), key)).withColumn("key", _letters(F.col("bare")))
+    m = m.withColumn("bare", F.when(~F.col("page"), key)).withColumn("key", _letters(F.col("bare")))
     # Not the fixed shape of a sentence, so a line of text that happens to repeat is no header by itself.
     beside = F.coalesce(F.lag("page").over(text), F.lit(False)) | F.coalesce(F.lead("page").over(text), F.lit(False))
     title_key = _letters(F.regexp_replace("title", r"\s+", " "))
     head_key = _letters(F.element_at(F.split("bare", r"\s+\|\s+"), 1))
-    title_head = F.substring(title_key, 1, 200)
-    m = m.withColumn("_head", head_key).withColumn("_title", title_head)
-    as_title = (F.length("_head") >= 12) & (F.levenshtein(F.substring("_head", 1, 200), F.substr(F.col("_title"), F.lit(1), F.length("_head"))) <= F.length("_head") * 0.15)
+    m = m.withColumn("_head", head_key).withColumn("_title", title_key)
+    # A line longer than the title by more than the edits allowed is not its head.
+    may = (F.length("_head") >= 12) & (F.length("_head") * (1 - HEADER_EDITS) <= F.length("_title"))
+    as_title = F.when(may, F.levenshtein("_head", F.substr(F.col("_title"), F.lit(1), F.length("_head"))) <= F.length("_head") * HEADER_EDITS)
     et_al = F.col("bare").rlike(r"(?iu)^(?:\p{L}+\.?\s+)*[\p{L}'’\-]+\s+[ec]t\s+[a@][l1]\.?$")
     m = m.withColumn("as_title", F.coalesce(as_title, F.lit(False))).withColumn("et_al", F.coalesce(et_al, F.lit(False))).withColumn("beside", beside)
     # A number carried by a header runs with those of other lines of the same key.
     twin = Window.partitionBy("parsed_id", "key")
     spread = F.max("carried").over(twin) - F.min("carried").over(twin)
     m = m.withColumn("_twins", F.count("*").over(twin)).withColumn("_spread", spread)
-    numbered = F.col("carried").isNotNull() & F.col("_spread").between(1, 60)
+    numbered = F.col("carried").isNotNull() & F.col("_spread").between(1, 4 * F.col("_twins"))
     # A body line is filled: the next word would not have gone on it. Lines at page edges stand alone.
-    width = F.max(F.when(F.col("bare").isNotNull() | (F.length("line") > 140), F.length("line"))).over(Window.partitionBy("parsed_id", "part_name"))
+    width = F.max(F.when(~F.col("page"), F.length("line"))).over(Window.partitionBy("parsed_id", "part_name"))
     next_word = F.element_at(F.split(F.lead("line").over(text), r"\s+"), 1)
     room = F.length("line") + 1 + F.coalesce(F.length(next_word), F.lit(0)) <= width
     alone = F.col("key").isNotNull() & (F.length("key") >= 4) & F.coalesce(room, F.lit(False)) & ~F.col("line").rlike(rf"^\p{{Ll}}|\p{{Ll}}{HYPHEN}$")
@@ -113,6 +119,25 @@ def mark_edges(lines: DataFrame) -> DataFrame:
     return m.withColumn("_edge_twins", F.count_if("edge").over(twin))
 
 
+def near_twins(marked: DataFrame) -> DataFrame:
+    """(parsed_id, key, _near, _near_edges): how many lines of the paper have this key or nearly, and how many at an edge.
+
+    Keys are counted first, so a header on a thousand pages is one row. Keys of a paper meet by equal pieces (their
+    first, middle and last letters), and the edit distance decides; only keys seen at an edge look for neighbours.
+    """
+    keys = marked.where(F.length("key") >= 4).groupBy("parsed_id", "key").agg(F.count("*").alias("_n"), F.count_if("edge").alias("_e"))
+    piece = F.greatest(F.lit(3), F.least(F.lit(8), F.floor(F.length("key") / 4))).cast("int")
+    middle = F.floor(F.length("key") / 2).cast("int")
+    parts = F.array(F.concat(F.lit("<"), F.substr(F.col("key"), F.lit(1), piece)), F.concat(F.lit(">"), F.substr(F.col("key"), -piece)), F.concat(F.lit("|"), F.substr(F.col("key"), middle - 1, piece)))
+    cut = keys.withColumn("_part", F.explode(parts))
+    a = cut.where("_e > 0").select("parsed_id", "_part", "key")
+    b = cut.select("parsed_id", "_part", F.col("key").alias("_b"), "_n", "_e")
+    most = F.ceil(F.greatest(F.length("key"), F.length("_b")) * HEADER_EDITS)
+    near = a.join(b, ["parsed_id", "_part"]).where((F.abs(F.length("key") - F.length("_b")) <= most) & ((F.col("key") == F.col("_b")) | (F.levenshtein("key", "_b") <= most)))
+    each = near.groupBy("parsed_id", "key", "_b").agg(F.max("_n").alias("_n"), F.max("_e").alias("_e"))
+    return each.groupBy("parsed_id", "key").agg(F.sum("_n").alias("_near"), F.sum("_e").alias("_near_edges"))
+
+
 def known_headers(marked: DataFrame) -> DataFrame:
     """Keys of lines that mostly stand at page edges, in several documents: journal lines and notices."""
     per = marked.where("length(key) >= 8").groupBy("key").agg(F.count_distinct(F.when(F.col("edge"), F.col("parsed_id"))).alias("docs"), F.avg(F.col("edge").cast("int")).alias("share"))
@@ -122,8 +147,8 @@ def known_headers(marked: DataFrame) -> DataFrame:
 def find_edges(lines: DataFrame) -> DataFrame:
     """The lines with ``noise``: page_number, running_header or null for body lines."""
     m = mark_edges(lines)
-    m = m.join(known_headers(m), "key", "left")
-    repeated = F.col("edge") & (F.col("_edge_twins") >= 2) & (F.col("_edge_twins") >= 0.8 * F.col("_twins"))
+    m = m.join(known_headers(m), "key", "left").join(near_twins(m), ["parsed_id", "key"], "left")
+    repeated = F.col("edge") & (F.col("_near_edges") >= 2) & (F.col("_near_edges") >= 0.8 * F.col("_near"))
     header = F.col("as_title") | F.col("et_al") | (F.coalesce("known", F.lit(False)) & ~F.col("line").rlike(r"^\p{Ll}")) | repeated | F.col("runs")
     noise = F.when(F.col("page"), "page_number").when(header & F.col("key").isNotNull(), "running_header")
     return m.select("parsed_id", "part_name", "entry", "ln", "line", noise.alias("noise"))
@@ -151,13 +176,13 @@ def _words_of(body: DataFrame) -> DataFrame:
     words = F.transform("inner", _core)
     initial = F.transform(F.sequence(F.lit(1), F.greatest(F.size("inner") - 1, F.lit(1))), lambda i: F.when(F.get("inner", i - 1).rlike(r"^\p{Lu}$") & F.get("inner", i).rlike(r"^\p{Ll}{2,}"), F.concat(_core(F.get("inner", i - 1)), F.lit(" "), _core(F.get("inner", i)))))
     every = F.concat(words, F.filter(initial, lambda x: x.isNotNull()))
-    return body.select("parsed_id", "part_name", F.explode(every).alias("word")).where(F.col("word").rlike(r"\p{L}") & (F.length("word") <= LONGEST_WORD))
+    return body.select("parsed_id", "part_name", F.explode(every).alias("word")).where(F.col("word").rlike(r"\p{L}"))
 
 
 def vocabulary(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(word, n): words seen whole, and the joined forms of broken ones (with n = 0 if never seen whole)."""
     seen = words.groupBy("word").agg(F.count("*").alias("n"))
-    joined = pairs.select(F.explode(F.array(F.concat("left", "right"), F.concat_ws("-", "left", "right"))).alias("word")).where(F.length("word") <= LONGEST_WORD).distinct().withColumn("n", F.lit(0).cast("bigint"))
+    joined = pairs.select(F.explode(F.array(F.concat("left", "right"), F.concat_ws("-", "left", "right"))).alias("word")).distinct().withColumn("n", F.lit(0).cast("bigint"))
     return seen.unionByName(joined).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -186,18 +211,51 @@ def printed_forms(word: str) -> list[str]:
     return [w for w in found if not any(c in "@+|$!" for c in w)]
 
 
+def folded(word: Column) -> Column:
+    """A word with all letters that are misread for each other folded together, so every misreading has the key of its word."""
+    for read, printed in (("1i|i1|11|ii", "u"), ("rn|nn|in", "m"), ("cl|c1", "d"), ("vv|vi", "w"), ("li|ti", "h")):
+        word = F.regexp_replace(word, read, printed)
+    return F.translate(word, "c31|!i+f@5$0q9y68b", "eellllttassoggvhhh")
+
+
+def known_word_bits(strong: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits in which each word of ``strong`` sets one; as bounded, it goes along with the tasks."""
+    at = F.pmod(F.xxhash64("printed"), F.lit(FILTER_BITS)).cast("bigint")
+    rows = strong.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()  # FILTER_BITS / 8 bytes
+    out = np.zeros(FILTER_BITS // 8 + 4096, dtype=np.uint8)
+    for r in rows:
+        # Bucket n holds the values (n - 1) * 32768 + 1 to n * 32768, and bucket 0 the value 0.
+        bits = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        out[r["b"] * len(bits) : (r["b"] + 1) * len(bits)] = bits
+    return out
+
+
 def corrections(vocab: DataFrame) -> DataFrame:
-    """(word, printed): misread words and what was printed."""
+    """(word, printed): misread words and what was printed.
+
+    Printed forms that no frequent word can be are dropped at once by a filter of bounded size; the join decides.
+    """
+    strong = vocab.where("n >= 3 and not word rlike '[ 0-9@+|$!]' or n >= 3 and word rlike '^[\\\\p{L}]+-[0-9]+k?$'").select(F.col("word").alias("printed"), F.col("n").alias("printed_n"))
+    bits = known_word_bits(strong)
+
+    def may_be(word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        v = (h - (1 << 64) if h >> 63 else h) % FILTER_BITS
+        bucket, position = (v + 32767) // 32768 if v > 0 else 0, (v - 1) % 32768 if v > 0 else 0
+        return bool(bits[bucket * 4096 + position // 8] >> (position % 8) & 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(w, n, c) for w, n in zip(frame["word"], frame["n"]) for c in printed_forms(w)]
+            rows = [(w, n, c) for w, n in zip(frame["word"], frame["n"]) for c in printed_forms(w) if may_be(c)]
             yield pd.DataFrame(rows, columns=["word", "n", "printed"])
 
     # Frequent words are never misreadings of still more frequent ones by chance: the ratio decides.
-    candidates = vocab.where(F.length("word") >= SHORTEST_WORD).mapInPandas(run, "word string, n bigint, printed string")
-    strong = vocab.where("n >= 3 and not word rlike '[ 0-9@+|$!]' or n >= 3 and word rlike '^[\\\\p{L}]+-[0-9]+k?$'").select(F.col("word").alias("printed"), F.col("n").alias("printed_n"))
-    joined = candidates.join(strong, "printed").where((F.col("printed_n") >= FREQUENCY_RATIO * F.greatest(F.col("n"), F.lit(0))))
+    told = vocab.where(F.length("word") >= SHORTEST_WORD)
+    candidates = told.where(F.length("word") <= LONG_WORD).mapInPandas(run, "word string, n bigint, printed string")
+    long_words = told.where(F.length("word") > LONG_WORD).withColumn("_f", folded(F.col("word")))
+    long_strong = strong.where(F.length("printed") > LONG_WORD - 4).withColumn("_f", folded(F.col("printed")))
+    by_fold = long_words.join(long_strong.select("_f", "printed"), "_f").where("word <> printed").select("word", "n", "printed")
+    joined = candidates.unionByName(by_fold).join(strong, "printed").where((F.col("printed_n") >= FREQUENCY_RATIO * F.greatest(F.col("n"), F.lit(0))))
     fragment = vocab.select(F.col("word").alias("_f"), F.col("n").alias("_fn"))
     apart = joined.withColumn("_f", F.when(F.contains("word", F.lit(" ")), F.substring_index("word", " ", -1)))
     judged = apart.join(fragment, "_f", "left").where("_f is null or printed_n >= 8 * coalesce(_fn, 0)")
