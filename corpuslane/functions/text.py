@@ -17,9 +17,9 @@ STOP_WORDS = tuple(
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Cues of sentence roles.
 ROLE_CUES = {
-    "method": ("we propose", "method", "approach", "algorithm", "framework", "architecture", "model", "technique", "procedure", "we introduce"),
-    "results": ("result", "improve", "outperform", "accuracy", "performance", "achieve", "evaluation", "experiment", "gain", "score"),
-    "background": ("previous", "existing", "prior work", "recent", "challenge", "problem", "literature", "however", "traditionally", "remains"),
+    "method": ("we propose", "we present", "our method", "we introduce", "we develop", "our approach", "this paper presents", "we describe", "in this paper, we", "we design", "our model", "we formulate"),
+    "results": ("we show", "outperforms", "achieves", "improves", "our experiments", "results show", "we demonstrate", "state-of-the-art", "our model achieves", "we report", "we obtain", "significantly better", "competitive with", "we evaluate"),
+    "background": ("recent work", "has been widely", "existing methods", "previous work", "traditionally", "it is well known", "in recent years", "have shown", "is an important", "remains challenging", "despite", "however,", "current approaches"),
 }
 
 
@@ -101,6 +101,7 @@ def sentence_role(s: Column) -> Column:
 
 def expand_query(c: Column) -> Column:
     """Appends aliases for known phrases; rules are (pattern, addition)."""
+    c = F.trim(c)
     out = c
     for pattern, added in QUERY_EXPANSIONS:
         out = F.when(c.rlike(pattern), F.concat(out, F.lit(" " + added))).otherwise(out)
@@ -109,9 +110,8 @@ def expand_query(c: Column) -> Column:
 
 # Phrases and what is appended for them.
 QUERY_EXPANSIONS = (
-    (r"(?i)retrieval[- ]augmented", "RAG retrieval augmented generation"),
-    (r"(?i)scientific literature", "research papers scholarly articles"),
-    (r"(?i)question answering", "QA reading comprehension"),
+    (r"(?i)\bretrieval[\s-]+augmented[\s-]+generation\b", "RAG retrieval-augmented generation"),
+    (r"(?i)scientific literature", "scientific papers scholarly documents"),
 )
 
 

@@ -76,10 +76,12 @@ def win_first_seen_text(spark, sf_dir):
     return docs(spark, sf_dir).where("text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-@query("""SELECT DISTINCT prompt_id, prompt_text || CASE WHEN regexp_matches(prompt_text, '(?i)retrieval[- ]augmented') THEN ' RAG retrieval augmented generation' ELSE '' END || CASE WHEN regexp_matches(prompt_text, '(?i)scientific literature') THEN ' research papers scholarly articles' ELSE '' END
-  || CASE WHEN regexp_matches(prompt_text, '(?i)question answering') THEN ' QA reading comprehension' ELSE '' END AS expanded FROM prompt_records""")
+@query("""WITH q AS (SELECT DISTINCT prompt_id, trim(prompt_text, ' ') AS t FROM prompt_records UNION SELECT DISTINCT 'D' || doc_id, trim(text, ' ') FROM documents WHERE regexp_matches(text, '(?i)scientific literature|augmented'))
+SELECT prompt_id, t || CASE WHEN regexp_matches(t, '(?i)\\bretrieval[\\s-]+augmented[\\s-]+generation\\b') THEN ' RAG retrieval-augmented generation' ELSE '' END || CASE WHEN contains(lower(t), 'scientific literature') THEN ' scientific papers scholarly documents' ELSE '' END AS expanded FROM q""")
 def txt_expand_query(spark, sf_dir):
-    return table(spark, sf_dir, "prompt_records").select("prompt_id", X.expand_query(F.col("prompt_text")).alias("expanded")).distinct()
+    held = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)scientific literature|augmented")).select(F.concat(F.lit("D"), "doc_id").alias("prompt_id"), F.col("text").alias("prompt_text"))
+    every = table(spark, sf_dir, "prompt_records").select("prompt_id", "prompt_text").unionByName(held)
+    return every.select("prompt_id", X.expand_query(F.col("prompt_text")).alias("expanded")).distinct()
 
 
 GEN = "g AS (SELECT DISTINCT generation_id, prompt_id, text FROM model_generations)"
