@@ -14,7 +14,7 @@ from corpuslane.functions import text as X
 
 ENTITY_KINDS = ("methods", "datasets", "tasks", "metrics", "institutions")
 # Words that show that results are measured.
-METRIC_WORDS = "accuracy|precision|recall|f1|bleu|rouge|error|score"
+METRIC_WORDS = r"\b(?:accuracy|precision|recall|f1(?:-score)?|bleu|rouge(?:-[12l])?|perplexity|mrr|map|ndcg(?:@\d+)?|auc|exact match|treesim|episode return|sample efficiency|wall-clock time)\b"
 
 
 def current(parsed: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def structural_checks(parsed: DataFrame) -> DataFrame:
     size = lambda part: F.length(F.coalesce(F.col("sections")[part], F.lit("")))
     found = F.array(
         F.when(size("abstract") < 200, "short abstract"), F.when(size("method") < 400, "short method"), F.when(size("results") < 300, "short results"), F.when(size("conclusion") < 150, "short conclusion"),
-        F.when(F.coalesce(F.size("reference_entries"), F.lit(0)) < 10, "few references"), F.when(~F.lower(F.coalesce(F.col("sections")["results"], F.lit(""))).rlike(METRIC_WORDS), "no metric"),
+        F.when(F.coalesce(F.size("reference_entries"), F.lit(0)) < 10, "few references"), F.when(~F.lower(F.array_join(F.map_values("sections"), "\n")).rlike(METRIC_WORDS), "no metric"),
         F.when(size("limitations") == 0, "no limitations"), F.when(size("related_work") == 0, "no related work"),
     )
     return parsed.select("parsed_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))

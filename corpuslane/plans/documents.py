@@ -129,7 +129,7 @@ def doc_section_texts(spark, sf_dir):
 
 
 RULES = """list_filter([CASE WHEN length(coalesce(sections['abstract'], '')) < 200 THEN 'short abstract' END, CASE WHEN length(coalesce(sections['method'], '')) < 400 THEN 'short method' END, CASE WHEN length(coalesce(sections['results'], '')) < 300 THEN 'short results' END,
-  CASE WHEN length(coalesce(sections['conclusion'], '')) < 150 THEN 'short conclusion' END, CASE WHEN coalesce(len(reference_entries), 0) < 10 THEN 'few references' END, CASE WHEN NOT regexp_matches(lower(coalesce(sections['results'], '')), 'accuracy|precision|recall|f1|bleu|rouge|error|score') THEN 'no metric' END,
+  CASE WHEN length(coalesce(sections['conclusion'], '')) < 150 THEN 'short conclusion' END, CASE WHEN coalesce(len(reference_entries), 0) < 10 THEN 'few references' END, CASE WHEN NOT regexp_matches(lower(array_to_string(map_values(sections), chr(10))), '\\b(?:accuracy|precision|recall|f1(?:-score)?|bleu|rouge(?:-[12l])?|perplexity|mrr|map|ndcg(?:@[0-9]+)?|auc|exact match|treesim|episode return|sample efficiency|wall-clock time)\\b') THEN 'no metric' END,
   CASE WHEN length(coalesce(sections['limitations'], '')) = 0 THEN 'no limitations' END, CASE WHEN length(coalesce(sections['related_work'], '')) = 0 THEN 'no related work' END], lambda x: x IS NOT NULL)"""
 
 
@@ -146,9 +146,9 @@ def nlp_entity_counts(spark, sf_dir):
     return D.entity_rows(D.current(table(spark, sf_dir, "parsed_papers"))).groupBy("kind", "entity").agg(F.count_distinct("parsed_id").alias("papers"))
 
 
-@query(f"""WITH {DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\b(accuracy|precision|recall|perplexity|latency|word error rate|exact match|mean average precision)\\b')) AS metric FROM d) SELECT metric, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM m GROUP BY metric""")
+@query(f"""WITH {DOCS}, m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(\\b(?:accuracy|precision|recall|f1(?:-score)?|bleu|rouge(?:-[12l])?|perplexity|mrr|map|ndcg(?:@[0-9]+)?|auc|exact match|treesim|episode return|sample efficiency|wall-clock time)\\b)')) AS metric FROM d) SELECT metric, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM m GROUP BY metric""")
 def nlp_gazetteer_metrics(spark, sf_dir):
-    pattern = r"\b(accuracy|precision|recall|perplexity|latency|word error rate|exact match|mean average precision)\b"
+    pattern = f"({D.METRIC_WORDS})"
     m = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 1)).alias("metric"))
     return m.groupBy("metric").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
 

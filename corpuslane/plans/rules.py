@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import rules as R
 from corpuslane.functions import text as X
-from corpuslane.operators import retrieval as T
+from corpuslane.operators import structure as S
 from corpuslane.plans import search
 from corpuslane.runtime import table
 
@@ -228,15 +228,46 @@ def snk_markdown_table(spark, sf_dir):
 
 BODY = "regexp_replace(regexp_replace(trim(line, ' '), '^[0-9]+([.][0-9]+)*[ \\t]*', ''), '[ \\t]+', ' ', 'g')"
 KEY = f"lower(regexp_replace(regexp_replace({BODY}, '^[ .:-]+', ''), '[ .:-]+$', ''))"
+#: Sections put together as one text with numbered headings, and its lines.
+RAW = f"""pp AS (SELECT DISTINCT parsed_id, list_sort(list_filter(map_entries(sections), lambda e: length(trim(coalesce(e.value, ''), ' ')) > 0)) AS m FROM parsed_papers), t AS (SELECT parsed_id, string_split(array_to_string(list_transform(m, lambda e, i: i || ' ' || array_to_string(list_transform(string_split(e.key, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || chr(10) || e.value), chr(10)), chr(10)) AS l FROM pp),
+l AS (SELECT parsed_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM t), o AS (SELECT *, regexp_matches(line, '^[0-9]+([.][0-9]+)*[ \\t]+[A-Z].{{0,120}}$') AND NOT (regexp_matches(lower(line), '\\b(figure|table|algorithm|appendix)\\b') AND NOT regexp_matches(line, '^[0-9]+[ \\t]+[A-Z]')) AS opens, {KEY} AS k FROM l),
+h AS (SELECT *, CASE WHEN NOT opens THEN NULL WHEN k = 'abstract' THEN 'abstract' WHEN regexp_matches(k, '^acknowledge?ments$') THEN NULL WHEN regexp_matches(k, '^(introduction|background|preliminaries)') THEN 'introduction' WHEN regexp_matches(k, '^(method|approach|model|algorithm|framework|architecture|proposed)') THEN 'method'
+ WHEN regexp_matches(k, '^(results|experiments|experimental|evaluation|empirical|findings)') THEN 'results' WHEN regexp_matches(k, '^(conclusion|future work|summary)') THEN 'conclusion' WHEN regexp_matches(k, '^(related work|prior work|literature review)') THEN 'related_work' WHEN regexp_matches(k, '^limitation') THEN 'limitations' WHEN starts_with(k, 'discussion') THEN 'discussion' END AS section FROM o)"""
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), h AS (SELECT doc_id, line_no, line, {KEY} AS k FROM l WHERE regexp_matches(line, '^[0-9]+([.][0-9]+)*[ \\t]+[A-Z].{{0,120}}$') AND NOT (regexp_matches(lower(line), '\\b(figure|table|algorithm|appendix)\\b') AND NOT regexp_matches(line, '^[0-9]+[ \\t]+[A-Z]')))
-SELECT doc_id, line_no, line AS heading, CASE WHEN k = 'abstract' THEN 'abstract' WHEN regexp_matches(k, '^acknowledge?ments$') THEN NULL WHEN regexp_matches(k, '^(introduction|background|preliminaries)') THEN 'introduction' WHEN regexp_matches(k, '^(method|approach|model|algorithm|framework|architecture|proposed)') THEN 'method'
- WHEN regexp_matches(k, '^(results|experiments|experimental|evaluation|empirical|findings)') THEN 'results' WHEN regexp_matches(k, '^(conclusion|future work|summary)') THEN 'conclusion' WHEN regexp_matches(k, '^(related work|prior work|literature review)') THEN 'related_work' WHEN regexp_matches(k, '^limitation') THEN 'limitations' WHEN starts_with(k, 'discussion') THEN 'discussion' END AS section FROM h""")
+def _raw(spark, sf_dir):
+    return table(spark, sf_dir, "parsed_papers").select("parsed_id", S.numbered_text(F.col("sections")).alias("text")).distinct()
+
+
+@query(f"WITH {RAW} SELECT parsed_id, line_no, line AS heading, section FROM h WHERE opens")
 def doc_numbered_headings(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    caption = F.lower("line").rlike(r"\b(figure|table|algorithm|appendix)\b") & ~F.col("line").rlike(r"^\d+\s+[A-Z]")
-    return lines.where(F.col("line").rlike(R.HEADING) & ~caption).select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.col("line").alias("heading"), R.section_key(F.col("line")).alias("section"))
+    return S.heading_lines(_raw(spark, sf_dir), "parsed_id").where("opens").select("parsed_id", "line_no", F.col("line").alias("heading"), "section")
+
+
+@query(f"""WITH {RAW}, b AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY parsed_id ORDER BY line_no) AS b FROM h), g AS (SELECT parsed_id, b, max(section) AS section, trim(string_agg(CASE WHEN NOT opens THEN line END, chr(10) ORDER BY line_no), ' ') AS body FROM b WHERE b > 0 GROUP BY 1, 2)
+SELECT parsed_id, section, string_agg(body, chr(10) || chr(10) ORDER BY b) AS body FROM g WHERE section <> 'abstract' AND body <> '' GROUP BY 1, 2""")
+def doc_split_sections(spark, sf_dir):
+    return S.split_sections(_raw(spark, sf_dir), "parsed_id")
+
+
+@query(r"""WITH e AS (SELECT DISTINCT unnest(reference_entries) AS e FROM parsed_papers), x AS (SELECT e, length(e) AS n, len(list_filter(regexp_extract_all(e, '[0-9]+'), lambda d: regexp_matches(d, '^(18|19|20)[0-9][0-9]$'))) AS years, regexp_matches(e, '^\p{Lu}') AND NOT regexp_matches(e, '^(?:In|Proceedings|International|Journal|Conference|University)\b') AND
+ (regexp_matches(e, '^\p{Lu}[\p{L}''’\-]+,\s+\p{Lu}\.?(?:\s+\p{Lu}\.?)?') OR regexp_matches(e, '(?i)^[^.!?]{1,120}\bet\s+al\.') OR regexp_matches(e, '^\p{Lu}[\p{L}''’\-]+(?:\s+(?:\p{Lu}\.|\p{Lu}[\p{L}''’\-]+)){1,6}(?:,|\s+and\b|\s+et\s+al\.|\.\s+)') OR regexp_matches(regexp_replace(e, '\.\s+\p{Lu}.*$', '', 's'), '(?i)\b(?:and|&)\b') OR length(e) - length(replace(e, ',', '')) >= 2) AS author FROM e WHERE e IS NOT NULL)
+SELECT e AS entry, CAST(CASE WHEN author THEN 2.0 ELSE 0 END + CASE WHEN years > 0 THEN 2.0 ELSE 0 END + CASE WHEN n BETWEEN 40 AND 450 THEN 1.0 ELSE 0 END - CASE WHEN n < 30 THEN 4.0 ELSE 0 END - CASE WHEN n > 600 THEN 3.0 + (n - 600) / 200 ELSE 0 END - CASE WHEN years > 2 THEN (years - 2) * 2.0 ELSE 0 END - CASE WHEN NOT author OR years = 0 THEN 2.0 ELSE 0 END AS DOUBLE) AS score FROM x""")
+def scl_reference_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "parsed_papers").select(F.explode("reference_entries").alias("entry")).where("entry is not null").distinct()
+    return e.select("entry", S.entry_score(F.col("entry")).alias("score"))
+
+
+@query()
+def doc_split_references(spark, sf_dir):
+    """Stored entries joined to one list and split again, by numbers, authors or lines."""
+    p = table(spark, sf_dir, "parsed_papers").select("parsed_id", F.array_join("reference_entries", "\n").alias("tail")).distinct()
+    return p.select("parsed_id", F.posexplode(S.split_references(F.col("tail"))).alias("at", "entry"))
+
+
+@query()
+def doc_extracted_abstracts(spark, sf_dir):
+    return _raw(spark, sf_dir).select("parsed_id", S.abstract_of(F.col("text")).alias("abstract"))
 
 
 @query("""WITH q AS (SELECT DISTINCT prompt_id, trim(prompt_text, ' ') AS q FROM prompt_records) SELECT prompt_id, v.variant, CASE v.variant WHEN 'plain' THEN q WHEN 'doubled' THEN q || ' ' || q ELSE 'This paper presents work on ' || q || '.' END AS text FROM q, (SELECT unnest(['plain', 'doubled', 'pseudo_abstract']) AS variant) v""")
