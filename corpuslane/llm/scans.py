@@ -116,7 +116,7 @@ def mark_edges(lines: DataFrame) -> DataFrame:
     follows = (F.col("carried") - F.lag("_page_no").over(text) == 1) | (F.lead("_page_no").over(text) - F.col("carried") == 1)
     opens = ~F.col("line").rlike(rf"^\p{{Ll}}|\p{{L}}{HYPHEN}$") & (F.length("key") >= 4)
     m = m.withColumn("runs", F.coalesce(follows & opens, F.lit(False)))
-    return m.withColumn("_edge_twins", F.count_if("edge").over(twin))
+    return m
 
 
 def near_twins(marked: DataFrame) -> DataFrame:
@@ -125,7 +125,8 @@ def near_twins(marked: DataFrame) -> DataFrame:
     Keys are counted first, so a header on a thousand pages is one row. Keys of a paper meet by equal pieces (their
     first, middle and last letters), and the edit distance decides; only keys seen at an edge look for neighbours.
     """
-    keys = marked.where(F.length("key") >= 4).groupBy("parsed_id", "key").agg(F.count("*").alias("_n"), F.count_if("edge").alias("_e"))
+    # A line that fills its column is text, so only lines that stand alone are near twins.
+    keys = marked.where((F.length("key") >= 4) & (F.col("alone") | F.col("edge"))).groupBy("parsed_id", "key").agg(F.count("*").alias("_n"), F.count_if("edge").alias("_e"))
     piece = F.greatest(F.lit(3), F.least(F.lit(8), F.floor(F.length("key") / 4))).cast("int")
     middle = F.floor(F.length("key") / 2).cast("int")
     parts = F.array(F.concat(F.lit("<"), F.substr(F.col("key"), F.lit(1), piece)), F.concat(F.lit(">"), F.substr(F.col("key"), -piece)), F.concat(F.lit("|"), F.substr(F.col("key"), middle - 1, piece)))
@@ -144,11 +145,11 @@ def known_headers(marked: DataFrame) -> DataFrame:
     return per.where((F.col("docs") >= KNOWN_IN_DOCUMENTS) & (F.col("share") >= EDGE_SHARE)).select("key", F.lit(True).alias("known"))
 
 
-def find_edges(lines: DataFrame) -> DataFrame:
-    """The lines with ``noise``: page_number, running_header or null for body lines."""
-    m = mark_edges(lines)
+def find_edges(lines: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The lines with ``noise``: page_number, running_header or null for body lines; ``cut`` stores the marked lines, which are read four times."""
+    m = cut(mark_edges(lines).select("parsed_id", "part_name", "entry", "ln", "line", "key", "alone", "edge", "page", "as_title", "et_al", "runs", "_twins"))
     m = m.join(known_headers(m), "key", "left").join(near_twins(m), ["parsed_id", "key"], "left")
-    repeated = F.col("edge") & (F.col("_near_edges") >= 2) & (F.col("_near_edges") >= 0.8 * F.col("_near"))
+    repeated = F.col("edge") & (F.col("_near_edges") >= 2) & (F.col("_near_edges") >= 0.8 * F.greatest("_near", "_twins"))
     header = F.col("as_title") | F.col("et_al") | (F.coalesce("known", F.lit(False)) & ~F.col("line").rlike(r"^\p{Ll}")) | repeated | F.col("runs")
     noise = F.when(F.col("page"), "page_number").when(header & F.col("key").isNotNull(), "running_header")
     return m.select("parsed_id", "part_name", "entry", "ln", "line", noise.alias("noise"))
@@ -282,7 +283,7 @@ class Repair:
     """The stages of a repair, stored by ``cut`` where several results read them."""
 
     def __init__(self, papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage):
-        self.edged = cut(find_edges(split_lines(papers)))
+        self.edged = cut(find_edges(split_lines(papers), cut))
         self.body = cut(body_lines(self.edged))
         self.pairs = self.body.where("broken").select("left", "right").distinct()
         self.words = _words_of(self.body)

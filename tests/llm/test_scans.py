@@ -44,3 +44,20 @@ def test_empty(spark):
 def test_printed_forms():
     assert "sparse" in S.printed_forms("spar5e") and "citation" in S.printed_forms("citahon")
     assert "domain" in S.printed_forms("dornain") and "under" in S.printed_forms("uncler") and S.printed_forms("f igure") == ["figure"]
+
+
+def test_headers_repeat_fuzzily_and_at_any_length(spark):
+    """Misread copies of one header count together, a header of 200 letters is one, and a line of text that repeats is none."""
+    long = "Proceedings of the Annual Meeting on " + "Computational Methods for Scanned Documents and " * 3 + "Related Other Subjects"
+    heads = ["Journal of Speech", "Joumal of Speech", "Journal of Specch", "Journal of Speech"]
+    body = "the model reads words of many kinds from the page and keeps them all in order for the reader who comes after and wants more of them again and again for every reader who likes to read the lines that are written here for the test of this"
+    texts = []
+    for i, h in enumerate(heads):
+        texts += [body + f" {i}", str(10 + i), h if i % 2 == 0 or i == 1 or i == 3 else h]
+    other = []
+    for i in range(4):
+        other += [body + f" {i}", str(20 + i), long]
+    rows = [(1, "A title of something else", {"method": "\n".join(texts)}), (2, "Another title", {"method": "\n".join(other)})]
+    papers = spark.createDataFrame([(i, t, s, []) for i, t, s in rows], "parsed_id long, title string, sections map<string,string>, reference_entries array<string>")
+    got = {(r.parsed_id, r.line) for r in S.find_edges(S.split_lines(papers)).where("noise = 'running_header'").collect()}
+    assert got == {(1, h) for h in heads} | {(2, long)} and len(long) > 200
