@@ -283,7 +283,7 @@ def ret_query_variants(spark, sf_dir):
 CASE WHEN tfidf_rank > 0 AND (bm25_rank = 0 OR tfidf_rank < bm25_rank) THEN 'similar' ELSE 'same_topic' END AS relation, CASE WHEN rank = 1 THEN 'method_related' WHEN score > 0.85 THEN 'similar' WHEN rank <= 3 THEN 'foundational' ELSE 'recent' END AS place FROM f LEFT JOIN t USING (doc_id)""")
 def ret_recommend(spark, sf_dir):
     """Fused hits with the reason, and the relation by ranks and by place; the paper's id stands for its title."""
-    fused = search.ret_rrf(spark, sf_dir)
+    fused = search.QUERIES["ret_rrf"](spark, sf_dir)
     titles = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("paper_id").alias("title"))
     b, v = F.col("bm25_rank"), F.col("tfidf_rank")
     return fused.join(titles, "doc_id", "left").select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"), R.reason_by_ranks(b, v, F.col("title")).alias("reason"), R.relation_by_ranks(b, v).alias("relation"), R.relation_by_place(F.col("score"), F.col("rank") - 1).alias("place"))
@@ -336,7 +336,7 @@ def evl_retriever_delta(spark, sf_dir):
 
 @query(f"SELECT weight, hits FROM ({search.ORACLE['evl_weight_grid']}) ORDER BY hits DESC, weight LIMIT 10")
 def top_best_weights(spark, sf_dir):
-    return search.evl_weight_grid(spark, sf_dir).orderBy(F.desc("hits"), "weight").limit(10)
+    return search.QUERIES["evl_weight_grid"](spark, sf_dir).orderBy(F.desc("hits"), "weight").limit(10)
 
 
 @query("""WITH a AS (SELECT DISTINCT paper_id, list_filter(list_transform(authors, lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM paper_records) SELECT paper_id, array_to_string(l, '|') AS all_authors, CASE WHEN coalesce(len(l), 0) = 0 THEN 'none' WHEN len(l) <= 2 THEN 'named' ELSE 'et al.' END AS form FROM a""")
