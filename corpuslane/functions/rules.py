@@ -5,9 +5,11 @@ Null texts count as empty unless a function says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslane.functions import text as X
+
 # Section names as headings write them, in order; a heading that begins with one of them counts.
 SECTION_ALIASES = {
     "introduction": ("introduction", "background", "preliminaries"),
@@ -131,6 +133,22 @@ def reason_by_ranks(bm25_rank: Column, vector_rank: Column, title: Column) -> Co
     return F.concat(F.lit("Recommended due to "), why, F.lit('. Title: "'), filled(title), F.lit('".'))
 
 
+def reason_by_signals(tfidf: Column, bm25: Column, vectors: Column, sections: Column) -> Column:
+    """The phrase of the strongest signal; of equal ones vectors, then sections, then TF-IDF."""
+    # The phrases.
+    top = F.greatest(tfidf, bm25, vectors, sections)
+    return F.when(vectors == top, "high semantic similarity between query and abstract").when(sections == top, "strong method/results section alignment with query topic").when(tfidf == top, "high keyword overlap with query terms").otherwise("strong term-frequency match with query")
+
+
+def section_texts(docs: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """(doc_id, text) under the keys 4 * doc_id + place in ``roles``: the whole text first, then the sentences of each
+    other role joined by blanks. Roles without sentences have no row; a null text has one, for the whole."""
+    said = lambda role: F.array_join(F.filter(X.sentences(F.col("text")), lambda s: X.sentence_role(s) == role), " ")
+    parts = F.array(F.struct(F.lit(0).alias("i"), F.col("text").alias("t")), *[F.struct(F.lit(i).alias("i"), said(r).alias("t")) for i, r in enumerate(roles) if i])
+    each = docs.select("doc_id", F.inline(parts)).where("i = 0 or t <> ''")
+    return each.select((F.col("doc_id") * 4 + F.col("i")).alias("doc_id"), F.col("t").alias("text"))
+
+
 def aps_author(name: Column) -> Column:
     """Initials before the surname; names that hold "and" and single words stay as they are."""
     comma = F.contains(name, F.lit(","))

@@ -53,13 +53,14 @@ def mean_metrics(per_query: DataFrame, by: str) -> DataFrame:
 def tradeoff(per_query: DataFrame, by: str, baseline: float) -> DataFrame:
     """A row a setting: means on query parts a and b, whether it is nowhere worse than the baseline setting
     (``balanced``), and whether it is at most 2 % worse on part a (``relaxed``). Without a baseline row nothing comes out."""
-    mean = lambda m, part: F.avg(F.when(F.col("part") == part, F.col(m)))
+    # Measures have six digits; as decimals their mean is exact, whatever the order of rows.
+    mean = lambda m, part: F.avg(F.when(F.col("part") == part, F.col(m).cast("decimal(18,6)")))
     names = {"map_a": ("ap", "a"), "ndcg_a": ("ndcg_standard", "a"), "map_b": ("ap", "b"), "ndcg_b": ("ndcg_standard", "b")}
     means = per_query.groupBy(by).agg(*[mean(*spec).alias(n) for n, spec in names.items()])
     base = means.where(F.col(by) == baseline).select(*[F.col(n).alias(f"_{n}") for n in names])
-    least = lambda chosen, share: reduce(and_, [F.col(n) >= F.col(f"_{n}") * share - 1e-9 for n in chosen])
+    least = lambda chosen, share: reduce(and_, [F.col(n).cast("double") >= F.col(f"_{n}").cast("double") * share - 1e-9 for n in chosen])
     both = means.crossJoin(F.broadcast(base))  # one row
-    return both.select(by, *[F.round(n, 6).alias(n) for n in names], least(names, 1.0).alias("balanced"), least(("map_a", "ndcg_a"), 0.98).alias("relaxed"))
+    return both.select(by, *[F.round(n, 6).cast("double").alias(n) for n in names], least(names, 1.0).alias("balanced"), least(("map_a", "ndcg_a"), 0.98).alias("relaxed"))
 
 
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:

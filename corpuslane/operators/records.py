@@ -22,6 +22,28 @@ def latest(papers: DataFrame) -> DataFrame:
     return best.select("_r.*")
 
 
+#: So many repeated ids at most are broadcast by :func:`one_text`.
+REPEATED_IDS_SENT = 1_000_000
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """One row (doc_id, text) a document, with its greatest text where it is repeated.
+
+    Ids alone are counted first; only the texts of repeated ones are then grouped, and all of them only where more ids
+    are repeated than can be sent to every task.
+    """
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    greatest = lambda df: df.groupBy("doc_id").agg(F.max("text").alias("text"))
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    n = repeated.limit(REPEATED_IDS_SENT + 1).count()
+    if n > REPEATED_IDS_SENT:
+        return greatest(known)
+    if n == 0:
+        return known
+    ids = F.broadcast(repeated)
+    return known.join(ids, "doc_id", "left_anti").unionByName(greatest(known.join(ids, "doc_id", "left_semi")))
+
+
 def primary_by_position(categories: Column, targets: list[str]) -> Column:
     """The first of a paper's own categories that is a target."""
     wanted = F.array(*[F.lit(t.lower()) for t in targets])

@@ -8,6 +8,7 @@ from corpuslane.functions import scalars as S
 from corpuslane.functions import text as X
 from corpuslane.operators import documents as D
 from corpuslane.plans.search import TOKENS
+from corpuslane.operators.records import one_text
 from corpuslane.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return one_text(table(spark, sf_dir, "documents"))
 
 
 def generations(spark, sf_dir):

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packed", "corpus", "search", "documents", "events", "learning", "more", "structured", "rules")
+MODULES = ("packed", "corpus", "search", "documents", "events", "learning", "more", "structured", "rules", "hybrid")
 
 
 def _modules():

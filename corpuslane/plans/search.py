@@ -1,5 +1,5 @@
-"""Search, fusion and evaluation queries. Queries are the documents whose doc_id is divisible by 50 (their opening
-words) or all prompts; they run against all documents."""
+"""Search, fusion and evaluation queries. Queries are the documents whose doc_id is divisible by 50, with their whole
+texts, or all prompts; they run against all documents. One stored index serves them all."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from corpuslane.functions import text as X
 from corpuslane.operators import evaluation as E
 from corpuslane.operators import retrieval as T
-from corpuslane.runtime import cut_lineage, table
+from corpuslane.runtime import cut_lineage, shared_folder, table
 
 QUERIES, ORACLE = {}, {}
 K = 10
+BOTH = ("bm25", "tfidf")
 
 
 def query(sql: str | None = None):
@@ -29,8 +30,8 @@ STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOKENS = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({STOP}))"
 INDEX = f"""d AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), w AS (SELECT doc_id, coalesce({TOKENS('text')}, []) AS w FROM d),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM p GROUP BY 1), l AS (SELECT doc_id, len(w) AS dl FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l)"""
-# The opening words of a document are the query; the documents of its paper are relevant.
-QDOC = f"""q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({TOKENS("array_to_string(regexp_extract_all(text, '[^ \\n\\t]+')[:12], ' ')")}) AS term FROM d WHERE doc_id % 50 = 0) GROUP BY 1, 2)"""
+# The whole text of a document is the query; the documents of its paper are relevant.
+QDOC = "q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM p WHERE doc_id % 50 = 0)"
 QPROMPT = f"""q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT CAST(substr(prompt_id, 2) AS BIGINT) AS query_id, unnest({TOKENS('prompt_text')}) AS term FROM (SELECT DISTINCT prompt_id, prompt_text FROM prompt_records)) GROUP BY 1, 2)"""
 TFIDF = """wt AS (SELECT p.doc_id, p.term, p.tf, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM p JOIN v USING (term) CROSS JOIN s), nm AS (SELECT doc_id, sqrt(sum((tf * idf) ** 2)) AS norm FROM wt GROUP BY 1),
 qw AS (SELECT query_id, term, qtf * (ln((1.0 + n) / (1 + df)) + 1) AS qw FROM q JOIN v USING (term) CROSS JOIN s), qn AS (SELECT query_id, sqrt(sum(qw ** 2)) AS qnorm FROM qw GROUP BY 1),
@@ -42,13 +43,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def _index(spark: SparkSession, sf_dir: str) -> T.Index:
-    return T.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), cut=cut_lineage)
-
-
-def _doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").groupBy("doc_id").agg(F.max("text").alias("text"))
-    words = F.regexp_extract_all("text", F.lit(r"([^ \n\t]+)"), 1)
-    return d.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 1, 12), " ").alias("text"))
+    return T.stored_index(table(spark, sf_dir, "documents"), shared_folder(spark, "indexes"))
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,26 +90,41 @@ def ret_nearest_vectors(spark, sf_dir):
     return T.nearest(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), K)
 
 
-def _two_lists(spark, sf_dir, depth: int | None = 50):
-    i, q = _index(spark, sf_dir), _doc_queries(spark, sf_dir)
-    t, b = T.tfidf(i, q, depth).withColumn("component", F.lit("tfidf")), T.bm25(i, q, depth).withColumn("component", F.lit("bm25"))
-    return t.unionByName(b)
+def _pairs(spark, sf_dir):
+    """(query_id, doc_id, tfidf, bm25) of all documents that share a word with a query document."""
+    index = _index(spark, sf_dir)
+    return cut_lineage(T.lexical_scores(index, T.documents_as_queries(index, F.col("doc_id") % 50 == 0)))
+
 
+def _two_lists(spark, sf_dir):
+    """All scores of both retrievers, one below the other."""
+    pairs = _pairs(spark, sf_dir)
+    one = lambda c: pairs.where(F.col(c).isNotNull()).select("query_id", "doc_id", F.col(c).alias("score"), F.lit(c).alias("component"))
+    return one("tfidf").unionByName(one("bm25"))
 
-LISTS = f"{INDEX}, {QDOC}, {TFIDF}, {OKAPI}, lists AS (SELECT query_id, doc_id, score, rank, 'tfidf' AS component FROM tfidf WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, score, rank, 'bm25' FROM bm WHERE rank <= 50)"
+
+def _two_heads(spark, sf_dir):
+    """The ten best of both retrievers, which is what the measures read."""
+    pairs = _pairs(spark, sf_dir)
+    one = lambda c: T.top_k(pairs.where(F.col(c).isNotNull()).select("query_id", "doc_id", F.col(c).alias("score")), 10).withColumn("component", F.lit(c))
+    return one("tfidf").unionByName(one("bm25"))
+
+
+LISTS = f"{INDEX}, {QDOC}, {TFIDF}, {OKAPI}, lists AS (SELECT query_id, doc_id, score, rank, 'tfidf' AS component FROM tfidf UNION ALL SELECT query_id, doc_id, score, rank, 'bm25' FROM bm)"
 
 
 @query(f"""WITH {LISTS}, f AS (SELECT query_id, doc_id, round(sum(CASE component WHEN 'bm25' THEN 0.6 ELSE 0.4 END / (60 + rank)), 9) AS score, coalesce(max(CASE WHEN component = 'bm25' THEN rank END), 0) AS bm25_rank, coalesce(max(CASE WHEN component = 'tfidf' THEN rank END), 0) AS tfidf_rank FROM lists GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= {K}""")
 def ret_rrf(spark, sf_dir):
-    return T.reciprocal_rank_fusion(_two_lists(spark, sf_dir), {"bm25": 0.6, "tfidf": 0.4}, K)
+    return T.reciprocal_rank_fusion(T.full_ranks(_two_lists(spark, sf_dir), ("query_id", "component")), {"bm25": 0.6, "tfidf": 0.4}, K)
 
 
 @query(f"""WITH {LISTS}, m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM lists WINDOW w AS (PARTITION BY query_id, component)),
 f AS (SELECT query_id, doc_id, round(sum(CASE component WHEN 'bm25' THEN 0.55 ELSE 0.45 END * CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (score - lo) / (hi - lo) END), 9) AS score FROM m GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= {K}""")
 def ret_hybrid(spark, sf_dir):
-    return T.weighted_fusion(_two_lists(spark, sf_dir), {"bm25": 0.55, "tfidf": 0.45}, K)
+    scaled = T.min_max_columns(_pairs(spark, sf_dir), BOTH)
+    return T.top_k(scaled.select("query_id", "doc_id", (0.55 * F.col("bm25") + 0.45 * F.col("tfidf")).alias("score")), K)
 
 
 GOLD = "gold AS (SELECT DISTINCT q.doc_id AS query_id, d.doc_id FROM documents q JOIN documents d ON d.doc_id = q.doc_id OR (d.paper_id = q.paper_id) WHERE q.doc_id % 50 = 0)"
@@ -138,19 +148,21 @@ m AS (SELECT query_id, component, round(hits / 5, 6) AS precision, round(hits /
 
 @query(f"WITH {LISTS}, {GOLD}, {METRIC_SQL} SELECT * FROM m")
 def evl_per_query(spark, sf_dir):
-    return E.ranking_metrics(_two_lists(spark, sf_dir), _gold(spark, sf_dir), 5, ("component",))
+    return E.ranking_metrics(_two_heads(spark, sf_dir), _gold(spark, sf_dir), 5, ("component",))
 
 
 @query(f"WITH {LISTS}, {GOLD}, {METRIC_SQL} SELECT component, count(*) AS queries, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in E.METRICS) + " FROM m GROUP BY component")
 def evl_compare_retrievers(spark, sf_dir):
-    return E.mean_metrics(E.ranking_metrics(_two_lists(spark, sf_dir), _gold(spark, sf_dir), 5, ("component",)), "component")
+    return E.mean_metrics(E.ranking_metrics(_two_heads(spark, sf_dir), _gold(spark, sf_dir), 5, ("component",)), "component")
 
 
 @query(f"WITH {LISTS}, {GOLD} SELECT g.query_id, g.doc_id, coalesce(l.rank, (SELECT count(DISTINCT doc_id) FROM documents)) AS gold_rank FROM gold g LEFT JOIN lists l ON l.component = 'bm25' AND l.query_id = g.query_id AND l.doc_id = g.doc_id")
 def win_gold_ranks(spark, sf_dir):
-    lists = _two_lists(spark, sf_dir).where("component = 'bm25'").select("query_id", "doc_id", "rank")
+    """The rank of every gold document in the full ranking; the size of the corpus for those that do not match."""
+    scores = _pairs(spark, sf_dir).where("bm25 is not null").select("query_id", "doc_id", F.col("bm25").alias("score"))
     n = table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id").alias("n"))
-    return _gold(spark, sf_dir).join(lists, ["query_id", "doc_id"], "left").crossJoin(F.broadcast(n)).select("query_id", "doc_id", F.coalesce("rank", "n").cast("bigint").alias("gold_rank"))  # one row
+    gold = _gold(spark, sf_dir).join(T.full_ranks(scores).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+    return gold.crossJoin(F.broadcast(n)).select("query_id", "doc_id", F.coalesce("rank", "n").cast("bigint").alias("gold_rank"))  # one row
 
 
 @query(f"""WITH {LISTS}, {GOLD}, g AS (SELECT w / 20.0 AS weight FROM range(0, 21) t(w)), m0 AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM lists WINDOW w AS (PARTITION BY query_id, component)),
@@ -158,9 +170,7 @@ nrm AS (SELECT query_id, doc_id, component, CASE WHEN hi - lo < 1e-9 THEN 0.5 EL
 r AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY score DESC, doc_id) AS rank FROM f), h AS (SELECT weight, count(*) AS hits FROM r JOIN gold USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1)
 SELECT round(g.weight, 2) AS weight, coalesce(hits, 0) AS hits FROM g LEFT JOIN h USING (weight)""")
 def evl_weight_grid(spark, sf_dir):
-    parts = T.min_max(cut_lineage(_two_lists(spark, sf_dir)))
-    two = parts.groupBy("query_id", "doc_id").agg(F.coalesce(F.max(F.when(F.col("component") == "bm25", F.col("normal"))), F.lit(0.0)).alias("b"), F.coalesce(F.max(F.when(F.col("component") == "tfidf", F.col("normal"))), F.lit(0.0)).alias("t"))
-    return _grid_hits(spark, sf_dir, two)
+    return _grid_hits(spark, sf_dir, _may_lead(spark, sf_dir, 5))
 
 
 def _grid_hits(spark, sf_dir, two):
@@ -173,49 +183,12 @@ def _grid_hits(spark, sf_dir, two):
     return grid.join(hits, "weight", "left").select(F.round("weight", 2).alias("weight"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
-# The same over every matching document. Their SQL is that of the cut queries without the limit on the lists.
-BOTH = ("bm25", "tfidf")
-
-
-def whole(name: str) -> str:
-    return ORACLE[name].replace(" WHERE rank <= 50", "")
-
-
-def _whole_pairs(spark, sf_dir):
-    return cut_lineage(T.side_by_side(_two_lists(spark, sf_dir, None), BOTH))
-
-
-def _whole_two(spark, sf_dir, k):
+def _may_lead(spark, sf_dir, k):
     """(query_id, doc_id, b, t): scaled scores of all documents that any weight can bring among the k best."""
-    two = T.min_max_columns(_whole_pairs(spark, sf_dir), BOTH).select("query_id", "doc_id", F.col("bm25").alias("b"), F.col("tfidf").alias("t"))
+    two = T.min_max_columns(_pairs(spark, sf_dir), BOTH).select("query_id", "doc_id", F.col("bm25").alias("b"), F.col("tfidf").alias("t"))
     return T.may_lead(two, k, "b", "t")
 
 
-@query(whole("ret_rrf"))
-def ret_rrf_whole(spark, sf_dir):
-    scores = cut_lineage(_two_lists(spark, sf_dir, None))
-    return T.reciprocal_rank_fusion(T.full_ranks(scores, ("query_id", "component")), {"bm25": 0.6, "tfidf": 0.4}, K)
-
-
-@query(whole("ret_hybrid"))
-def ret_hybrid_whole(spark, sf_dir):
-    scaled = T.min_max_columns(_whole_pairs(spark, sf_dir), BOTH)
-    return T.top_k(scaled.select("query_id", "doc_id", (0.55 * F.col("bm25") + 0.45 * F.col("tfidf")).alias("score")), K)
-
-
-@query(whole("win_gold_ranks"))
-def win_gold_ranks_whole(spark, sf_dir):
-    scores = cut_lineage(T.bm25(_index(spark, sf_dir), _doc_queries(spark, sf_dir), None))
-    n = table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id").alias("n"))
-    gold = _gold(spark, sf_dir).join(T.full_ranks(scores).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
-    return gold.crossJoin(F.broadcast(n)).select("query_id", "doc_id", F.coalesce("rank", "n").cast("bigint").alias("gold_rank"))  # one row
-
-
-@query(whole("evl_weight_grid"))
-def evl_weight_grid_whole(spark, sf_dir):
-    return _grid_hits(spark, sf_dir, _whole_two(spark, sf_dir, 5))
-
-
-# The plain names rank, scale and look up over every matching document as well; nothing is cut before the final top k.
+# Names from before the plain ones ranked whole lists.
 for _name in ("ret_rrf", "ret_hybrid", "win_gold_ranks", "evl_weight_grid"):
-    QUERIES[_name], ORACLE[_name] = QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"]
+    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = QUERIES[_name], ORACLE[_name]

@@ -82,15 +82,11 @@ z AS (SELECT map_a AS ma, ndcg_a AS na, map_b AS mb, ndcg_b AS nb FROM a WHERE w
 SELECT weight, round(map_a, 6) AS map_a, round(ndcg_a, 6) AS ndcg_a, round(map_b, 6) AS map_b, round(ndcg_b, 6) AS ndcg_b, map_a >= ma - 1e-9 AND ndcg_a >= na - 1e-9 AND map_b >= mb - 1e-9 AND ndcg_b >= nb - 1e-9 AS balanced, map_a >= ma * 0.98 - 1e-9 AND ndcg_a >= na * 0.98 - 1e-9 AS relaxed FROM a CROSS JOIN z""")
 def evl_weight_tradeoff(spark, sf_dir):
     """Which fusion weights are no worse than 0.55 on two query sets, or at most 2 % worse on the first."""
-    parts = T.min_max(cut_lineage(search._two_lists(spark, sf_dir)))
-    side = lambda c: F.coalesce(F.max(F.when(F.col("component") == c, F.col("normal"))), F.lit(0.0))
-    return _tradeoff(spark, sf_dir, parts.groupBy("query_id", "doc_id").agg(side("bm25").alias("b"), side("tfidf").alias("t")))
+    return _tradeoff(spark, sf_dir, search._may_lead(spark, sf_dir, 10))
 
 
-@query(ORACLE["evl_weight_tradeoff"].replace(" WHERE rank <= 50", ""))
-def evl_weight_tradeoff_whole(spark, sf_dir):
-    """The same over every matching document."""
-    return _tradeoff(spark, sf_dir, search._whole_two(spark, sf_dir, 10))
+# The name from before the plain one ranked whole lists.
+QUERIES["evl_weight_tradeoff_whole"], ORACLE["evl_weight_tradeoff_whole"] = QUERIES["evl_weight_tradeoff"], ORACLE["evl_weight_tradeoff"]
 
 
 def _tradeoff(spark, sf_dir, two):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,17 @@ def local_folder(spark: SparkSession) -> str:
     return folder
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return local_folder(SparkSession.active())
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder ``name`` for stored tables inside ``spark.checkpoint.dir``; a temporary one for a local master where that is unset."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{configured or _own_folder(spark.sparkContext.applicationId)}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 

@@ -105,3 +105,56 @@ def test_whole_rankings_reach_beyond_any_depth(spark):
     for w in range(21):
         best = sorted((-(w / 20 * ((d * 7) % 40) / 39 + (1 - w / 20) * (1 - (d * 7) % 40 / 39)), d) for d in range(1, 121))[:5]
         assert {d for v, d in best if v < best[-1][0] - 1e-9} <= lead
+
+
+def test_stored_index_is_reused_only_for_the_same_corpus_and_analyzer(spark, tmp_path):
+    d = spark.createDataFrame(DOCS + DOCS[:1], "doc_id bigint, text string").withColumn("term", F.lit("x"))
+    q = spark.createDataFrame(QUERIES, "query_id bigint, text string")
+    folder = str(tmp_path)
+    first = T.stored_index(d, folder)
+    again = T.stored_index(d.repartition(3), folder)
+    meta = lambda: spark.read.parquet(f"{folder}/meta").count()
+    assert meta() == 1 and first.postings.inputFiles() == again.postings.inputFiles()
+    assert rows(T.bm25(again, q, 10)) == rows(T.bm25(T.build_index(d), q, 10)) and rows(T.tfidf(again, q, 10)) == rows(T.tfidf(T.build_index(d), q, 10))
+    assert sorted(map(tuple, again.docs.select("doc_id", "dl").collect())) == [(i, len(words(t))) for i, t in DOCS]
+    T.stored_index(d.where("doc_id <> 3"), folder)
+    T.stored_index(d, folder, lambda c: F.split(c, " "))
+    assert meta() == 3
+    assert T.saved_index(spark, str(tmp_path / "none"), "a", "b") is None and T.saved_index(spark, folder, "a", "b") is None
+    empty = T.stored_index(spark.createDataFrame([], "doc_id bigint, text string"), folder)
+    assert rows(T.bm25(empty, q, 3)) == {} and rows(T.tfidf(empty, q, 3)) == {}
+
+
+def test_lexical_scores_equal_the_single_searches(spark):
+    i, q = make(spark)
+    got = {(r.query_id, r.doc_id): (r.tfidf, r.bm25) for r in T.lexical_scores(i, q).collect()}
+    for place, one in enumerate((T.tfidf(i, q, None), T.bm25(i, q, None))):
+        want = {(r.query_id, r.doc_id): r.score for r in one.collect()}
+        have = {k: v[place] for k, v in got.items() if v[place] is not None}
+        assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-8 for k in want)
+    terms = T.documents_as_queries(i, F.col("doc_id") == 2)
+    assert {(r.term, r.qtf) for r in terms.collect()} == set(Counter(words(dict(DOCS)[2])).items())
+
+
+def test_one_text_moves_only_repeated_ids(spark, monkeypatch):
+    from corpuslane.operators import records
+
+    made = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c"), (3, None), (None, "d")], "doc_id bigint, text string")
+    want = [(1, "b"), (2, None), (3, "c")]
+    assert sorted(map(tuple, records.one_text(made).collect())) == want
+    monkeypatch.setattr(records, "REPEATED_IDS_SENT", 1)
+    assert sorted(map(tuple, records.one_text(made).collect())) == want
+    single = records.one_text(made.where("doc_id = 2"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString() and single.count() == 1
+
+
+def test_section_texts_and_reasons(spark):
+    from corpuslane.functions import rules as R
+
+    cue = {role: cues[0] for role, cues in X.ROLE_CUES.items()}
+    text = f"Plain words. {cue['method']} here. {cue['results']} there."
+    made = spark.createDataFrame([(2, text), (3, None), (4, "")], "doc_id bigint, text string")
+    got = dict(map(tuple, R.section_texts(made, ("whole", "method", "results", "background")).collect()))
+    assert got == {8: text, 9: f"{cue['method']} here.", 10: f"{cue['results']} there.", 12: None, 16: ""}
+    said = lambda *s: spark.range(1).select(R.reason_by_signals(*[F.lit(x) for x in s])).head()[0]
+    assert said(1.0, 1.0, 0.0, 0.0) == "high keyword overlap with query terms" and said(0.0, 1.0, 0.0, 0.2).startswith("strong term") and said(1.0, 1.0, 1.0, 1.0).startswith("high semantic")
