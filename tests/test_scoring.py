@@ -21,7 +21,7 @@ def made(spark):
     index = T.build_index(docs)
     queries = T.documents_as_queries(index, F.col("doc_id") % 10 == 0)
     pairs = T.lexical_scores(index, queries).cache()
-    return index, queries, pairs
+    return index, queries, pairs, docs, docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
 @pytest.fixture(params=[(4096, 512), (37, 5)])
@@ -29,7 +29,7 @@ def blocks(made, request, monkeypatch):
     monkeypatch.setattr(B, "DOCS_PER_BLOCK", request.param[0])
     monkeypatch.setattr(B, "QUERIES_PER_BLOCK", request.param[1])
     monkeypatch.setattr(B, "MATCHES", request.param[1] * 10)
-    return B.pack_blocks(*made[:2])
+    return B.pack_blocks(*made[3:])
 
 
 def lists(pairs):
@@ -70,7 +70,7 @@ def test_pairs_stay_in_their_tasks(made, blocks):
 
 
 def test_nothing_to_search(spark, made):
-    index = made[0]
-    none = B.pack_blocks(index, T.documents_as_queries(index, F.col("doc_id") < 0))
+    none = B.pack_blocks(made[3], made[4].where("false"))
+    assert B.heads(B.pack_blocks(made[3].where("false"), made[4]), 3).count() == 0
     assert B.heads(none, 3).count() == 0 and B.fused_by_rank(none, {"bm25": 0.6, "tfidf": 0.4}, 3).count() == 0
     assert B.fused_by_score(none, {"bm25": 0.6, "tfidf": 0.4}, 3).count() == 0 and B.leaders(none, 3).count() == 0
