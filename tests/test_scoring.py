@@ -69,6 +69,17 @@ def test_pairs_stay_in_their_tasks(made, blocks):
     assert made[2].count() > 20 * 2 * 3 * queries
 
 
+def test_sections_of_a_document_share_a_block(made, spark, monkeypatch):
+    monkeypatch.setattr(B, "DOCS_PER_BLOCK", 7)
+    weights, (index, _, _, docs, queries) = (0.6, 0.3, 0.1), made
+    key = F.col("doc_id")
+    sections = docs.where("doc_id % 3 <> 1 or doc_id % 2 = 0")
+    blocks = B.pack_blocks(sections, queries, together=3)
+    scored = T.tfidf(T.build_index(sections), queries, None).groupBy("query_id", F.floor(key / 3).alias("doc_id")).agg(F.sum(F.col("score") * F.element_at(F.array(*[F.lit(w) for w in weights]), (key % 3 + 1).cast("int"))).alias("score"))
+    columns = ("query_id", "doc_id", "score", "rank")
+    assert rounded(B.best_sections(blocks, weights, 5), *columns) == rounded(T.top_k(scored, 5), *columns)
+
+
 def test_nothing_to_search(spark, made):
     none = B.pack_blocks(made[3], made[4].where("false"))
     assert B.heads(B.pack_blocks(made[3].where("false"), made[4]), 3).count() == 0
