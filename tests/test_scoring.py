@@ -69,6 +69,12 @@ def test_pairs_stay_in_their_tasks(made, blocks):
     assert made[2].count() > 20 * 2 * 3 * queries
 
 
+def test_one_task_a_core_keeps_rows_of_all_queries(spark, made, monkeypatch):
+    """Each task writes its best of every query, so four tasks a core wrote four times as much."""
+    monkeypatch.setattr(B, "DOCS_PER_BLOCK", 7)
+    assert B.pack_blocks(*made[3:]).docs.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def test_sections_of_a_document_share_a_block(made, spark, monkeypatch):
     monkeypatch.setattr(B, "DOCS_PER_BLOCK", 7)
     weights, (index, _, _, docs, queries) = (0.6, 0.3, 0.1), made
