@@ -1,10 +1,10 @@
 """Problem 3: link the spellings of names that stand for the same person or organisation.
 
 Names are read into a family part, a given part and middle initials, whatever their order. Spellings of parts that
-are one edit apart are found by metric-space partitioning under the Damerau-Levenshtein distance (a true metric):
-a cell holds the strings with equal distances to the first pivots, and every string is replicated to the cells next to
-its own, as by the triangle inequality no neighbour's distance to a pivot can differ by more than the radius; distances
-to all further pivots sort out most pairs before an exact radius join runs inside the cells. Near parts bring
+are one edit apart under the Damerau-Levenshtein distance (a true metric) meet by equal keys: what is left of a string
+when one letter or none is left out. No key has more than a string a letter and place, so the work grows with the
+strings and not with their pairs. By the triangle inequality no neighbour's distance to a pivot can differ by more than
+the radius; distances to pivots far apart sort out pairs before the exact check. Near parts bring
 near names together by equal keys, never by comparing all names of a group. Names that fit one entity are linked:
 equal middles first, then names that leave parts out, then initials; a name that fits several entities equally well
 is linked to none.
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from corpuslane.runtime import cut_lineage
 
 RADIUS = 1
-#: Pivots are spread over a sample of so many strings at most, chosen by hash; cells are cut into rings beyond that.
+#: Pivots are spread over a sample of so many strings at most, chosen by hash.
 PIVOTS, PIVOT_SAMPLE = 12, 2_000
-#: A cell's key has the distances to this many pivots, one more for each tenfold of strings beyond RING_STRINGS.
-RINGS, RING_STRINGS = 3, 100_000
+#: A cell is a length and the distances to this many pivots; it shows how evenly the pivots part the strings.
+RINGS = 3
 #: A part seen in so many different names is a spelling of its own, not a slip of the pen.
 ESTABLISHED = 4
 #: ... unless the other spelling is so many times as common.
@@ -167,8 +167,8 @@ def read_name(name: str) -> tuple[str, str, str, list[str], list[str]]:
 READ_SCHEMA = "name string, kind string, family string, given string, middle string, one string, two string"
 
 
-def read_names(names: DataFrame) -> DataFrame:
-    """One row for each name with its parts; two-word names take the order that the corpus uses for their words."""
+def read_names(names: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """One row for each name with its parts, each read once; two-word names take the order that the corpus uses for their words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -178,9 +178,9 @@ def read_names(names: DataFrame) -> DataFrame:
                 rows.append((name, kind, family, given, "".join(middles), *(undecided or (None, None))))
             yield pd.DataFrame(rows, columns=["name", "kind", "family", "given", "middle", "one", "two"])
 
-    read = names.mapInPandas(run, READ_SCHEMA)
+    read = cut(names.mapInPandas(run, READ_SCHEMA))
     roles = read.where("kind = 'person'").select(F.explode(F.array(F.struct(F.col("family").alias("w"), F.lit(1).alias("f")), F.struct(F.col("given").alias("w"), F.lit(0).alias("f")))).alias("r"))
-    uses = roles.groupBy("r.w").agg(F.sum("r.f").alias("f"), F.count("*").alias("n"))
+    uses = cut(roles.groupBy("r.w").agg(F.sum("r.f").alias("f"), F.count("*").alias("n")))
     open_, settled = read.where("one is not null"), read.where("one is null")
     for c in ("one", "two"):
         open_ = open_.join(uses.withColumnsRenamed({"w": c, "f": f"{c}_f", "n": f"{c}_n"}), c)
@@ -213,17 +213,16 @@ def spread_pivots(sample: list[str], most: int = PIVOTS) -> list[str]:
 def near_strings(strings: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage, report: dict | None = None) -> DataFrame:
     """(a, b), both orders: pairs of different strings of ``strings`` (column s) within RADIUS of each other.
 
-    Few pivots far apart go along with the tasks. A cell is a length and the distances to the first pivots; a string's
-    own cell meets the cells next to it (all coordinates within RADIUS), so a big cell falls into as many rings as there
-    are distances, and more coordinates are taken as strings grow in number. ``report`` gets the number of rings and pivots.
+    Strings one edit apart are equal once a letter or none is left out of each, so they meet by equal keys; a key has at
+    most one string a letter and place, whatever their number. Few pivots far apart go along with the tasks: by the
+    triangle inequality, pairs whose distances to a pivot differ by more than the radius are dropped before the edit
+    distance. ``report`` gets the number of strings and pivots.
     """
     strings = cut(strings.where(F.length("s") >= SHORTEST_SLIP).distinct())
-    n = strings.count()
     sample = [r["s"] for r in strings.orderBy(F.xxhash64("s"), "s").limit(PIVOT_SAMPLE).collect()]  # bounded by PIVOT_SAMPLE
     chosen = spread_pivots(sample)
-    rings = min(len(chosen), RINGS + max(0, len(str(n // RING_STRINGS)) - 1 + (n >= RING_STRINGS)))
     if report is not None:
-        report.update(strings=n, pivots=len(chosen), rings=rings)
+        report.update(strings=strings.count(), pivots=len(chosen))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -232,24 +231,23 @@ def near_strings(strings: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut
             for begin in range(0, len(frame), 1000):
                 part = [str(s) for s in frame["s"][begin : begin + 1000]]
                 if part and chosen:
-                    yield pd.DataFrame({"s": part, "n": [len(s) for s in part], "d": list(np.stack([distances(p, part) for p in chosen], axis=1).astype(np.int32))})
-
-    placed = cut(strings.mapInPandas(place, "s string, n int, d array<int>"))
-    around = lambda c: F.explode(F.sequence(c - RADIUS, c + RADIUS))
-    homes = placed.select(F.col("s").alias("a"), F.col("d").alias("_da"), around(F.col("n")).alias("n"))
-    for i in range(rings):
-        homes = homes.select("*", around(F.get("_da", F.lit(i))).alias(f"r{i}"))
-    guests = placed.select(F.col("s").alias("b"), F.col("d").alias("_db"), "n", *[F.get("d", F.lit(i)).alias(f"r{i}") for i in range(rings)])
-    # Equal pairs meet once: the smaller string is the home. Further pivots sort out pairs before the edit distance.
+                    yield pd.DataFrame({"s": part, "d": list(np.stack([distances(p, part) for p in chosen], axis=1).astype(np.int32))})
+
+    placed = strings.mapInPandas(place, "s string, d array<int>")
+    # The last key leaves nothing out.
+    short = F.transform(F.sequence(F.lit(0), F.length("s")), lambda i: F.xxhash64(F.concat(F.substr("s", F.lit(1), i), F.substr("s", i + 2))))
+    keyed = placed.select(F.explode(F.array_distinct(short)).alias("_v"), F.struct("s", "d").alias("_x"))
+    groups = keyed.groupBy("_v").agg(F.collect_list("_x").alias("_l")).where(F.size("_l") > 1)
+    met = groups.select("_l", F.explode("_l").alias("_a")).select(F.col("_a.s").alias("a"), F.col("_a.d").alias("_da"), F.explode("_l").alias("_b")).select("a", "_da", F.col("_b.s").alias("b"), F.col("_b.d").alias("_db"))
+    # Equal pairs meet once in a key: the smaller string is the home. The pivots sort out pairs before the edit distance.
     apart = F.exists(F.zip_with("_da", "_db", lambda x, y: F.abs(x - y) > RADIUS), lambda x: x)
-    met = homes.join(guests, ["n", *[f"r{i}" for i in range(rings)]]).where((F.col("a") < F.col("b")) & ~apart)
-    joined = met.where(F.levenshtein("a", "b", 2) >= 0)
+    joined = met.where((F.col("a") < F.col("b")) & ~apart).where(F.levenshtein("a", "b", 2) >= 0).select("a", "b").distinct()
     # Two neighbouring letters changed places: one edit of the metric, two of the plain edit distance.
     chars = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: x != y)
     at = F.array_position(F.transform(chars, lambda x: x.cast("int")), 1).cast("int")
     swapped = (F.length("a") == F.length("b")) & (F.concat(F.substr(F.col("a"), F.lit(1), at - 1), F.substr(F.col("a"), at + 1, F.lit(1)), F.substr(F.col("a"), at, F.lit(1)), F.substr(F.col("a"), at + 2)) == F.col("b"))
-    found = joined.where((F.levenshtein("a", "b", 1) >= 0) | swapped).select("a", "b")
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    found = joined.where((F.levenshtein("a", "b", 1) >= 0) | swapped)
+    return found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_p")).select("_p.a", "_p.b")
 
 
 def slips(units: DataFrame, part: str, apart: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -281,7 +279,7 @@ def link_names(papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_li
     """(name, entity): every distinct spelling with the entity it stands for."""
     spark: SparkSession = papers.sparkSession
     names = papers.select(F.explode("authors").alias("name")).where(F.col("name").rlike(r"\p{L}")).distinct()
-    read = cut(read_names(names))
+    read = cut(read_names(names, cut))
     units = cut(read.select("kind", "family", "given", "middle").distinct().withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")))
     family_slips = slips(units.where("family <> ''"), "family", "given", cut)
     given_slips = slips(units.where("given <> ''"), "given", "family", cut)
@@ -292,9 +290,9 @@ def link_names(papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_li
 
     whole = units.where(F.length("given") > 1)
     same = lambda c: units.select(F.col(c).alias("a"), F.col(c).alias("b")).distinct()
-    families = other(same("family"), 0).unionByName(other(family_slips, 2))
+    families = cut(other(same("family"), 0).unionByName(other(family_slips, 2)))
     nick = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    givens = other(same("given"), 0).unionByName(other(given_slips, 2)).unionByName(other(nick, 1)).groupBy("a", "b").agg(F.min("cost").alias("cost"))
+    givens = cut(other(same("given"), 0).unionByName(other(given_slips, 2)).unionByName(other(nick, 1)).groupBy("a", "b").agg(F.min("cost").alias("cost")))
 
     # Units with whole given names meet over near family and near given parts, as equal keys.
     keyed = whole.join(families.withColumnsRenamed({"a": "family", "b": "f2", "cost": "fc"}), "family").join(givens.withColumnsRenamed({"a": "given", "b": "g2", "cost": "gc"}), "given")
@@ -302,13 +300,13 @@ def link_names(papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_li
     met = keyed.join(target, ["f2", "g2"]).where((F.col("kind") == F.col("k2")) & (F.col("id") != F.col("id2"))).withColumn("cost", F.col("fc") + F.col("gc"))
     met = cut(met.select("id", "id2", "middle", "m2", "cost"))
     strong = met.where("middle = m2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    root = connected(whole, strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), cut)
+    root = connected(whole, cut(strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()), cut)
 
     # A unit that leaves the middle out joins the one entity that it fits best.
     with_root = met.where("middle = '' and m2 <> ''").join(root.withColumnsRenamed({"id": "id2", "root": "to"}), "id2").join(root.withColumnsRenamed({"root": "own"}), "id")
     offers = with_root.groupBy("own", "to").agg(F.min("cost").alias("cost"))
     moves = _only_best(offers, "own", ["cost"]).select(F.col("own").alias("root"), F.col("to"))
-    entity = root.join(moves, "root", "left").select("id", F.coalesce("to", "root").alias("entity"))
+    entity = cut(root.join(moves, "root", "left").select("id", F.coalesce("to", "root").alias("entity")))
 
     # Initials join the one entity of the family that they fit best.
     brief = units.where((F.length("given") == 1) & (F.col("kind") == "person"))
@@ -318,7 +316,7 @@ def link_names(papers: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_li
     gap = F.when(F.col("middle") == F.col("m2"), 0).otherwise(1)
     offers = fits.groupBy("id", "to").agg(F.min(F.col("fc") * 2 + gap).alias("cost"))
     found = _only_best(offers, "id", ["cost"])
-    lone = brief.select("id").join(found, "id", "left").select("id", F.coalesce("to", "id").alias("entity"))
+    lone = cut(brief.select("id").join(found, "id", "left").select("id", F.coalesce("to", "id").alias("entity")))
     rest = units.where((F.length("given") == 0) | ((F.length("given") == 1) & (F.col("kind") != "person"))).select("id", F.col("id").alias("entity"))
     every = entity.unionByName(lone).unionByName(rest)
     return read.withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")).join(every, "id").select("name", "entity")

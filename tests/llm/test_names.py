@@ -105,3 +105,29 @@ def test_few_pairs_reach_the_edit_distance():
         passed += (near & (abs(d - d[i]) <= 1).all(axis=1)).sum() - 1
     cells = np.unique(np.column_stack([n, d[:, : N.RINGS]]), axis=0, return_counts=True)[1]
     assert passed < 0.1 * like and cells.max() < 0.1 * len(strings)
+
+
+def test_no_plan_is_big(spark):
+    """A driver holds the plans: every stored stage and the result stay small."""
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return N.cut_lineage(df)
+
+    lists = [[n] for n in ADA + BOB + ORG + APART]
+    out = N.link_names(spark.createDataFrame([(str(i), a, "x", "y") for i, a in enumerate(lists)], SCHEMA), cut)
+    plans.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+    assert max(plans) <= 12, plans
+
+
+def test_keys_meet_few_strings(spark):
+    """Strings that no pivot tells apart are not all compared: rows grow with the strings, not with their pairs."""
+    import itertools
+
+    strings = ["".join(p) + "".join(q) for p in itertools.permutations("abcde") for q in itertools.permutations("fghij")][::4]
+    found = N.near_strings(spark.createDataFrame([(s,) for s in strings], "s string"))
+    got = {(r.a, r.b) for r in found.collect()}
+    known = set(strings)
+    swaps = {(s, t) for s in strings for i in range(9) if (t := s[:i] + s[i + 1] + s[i] + s[i + 2 :]) in known and t != s}
+    assert got == swaps
