@@ -1,5 +1,6 @@
 """Scores by blocks equal those by rows, over any cut into blocks, and no row a pair of a query and a document is shuffled."""
 
+import pickle
 import random
 
 import pytest
@@ -91,3 +92,18 @@ def test_nothing_to_search(spark, made):
     assert B.heads(B.pack_blocks(made[3].where("false"), made[4]), 3).count() == 0
     assert B.heads(none, 3).count() == 0 and B.fused_by_rank(none, {"bm25": 0.6, "tfidf": 0.4}, 3).count() == 0
     assert B.fused_by_score(none, {"bm25": 0.6, "tfidf": 0.4}, 3).count() == 0 and B.leaders(none, 3).count() == 0
+
+
+def test_blocks_take_little_disk(spark, made, monkeypatch):
+    """No row a term and block or a query and term is stored, and the queries are stored compressed."""
+    stored, real = [], B.cut_lineage
+
+    def cut(df):
+        stored.append(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(B, "cut_lineage", cut)
+    blocks = B.pack_blocks(*made[3:])
+    assert stored == [["_d", "_docs"], ["term", "df", "_term"], ["_d", "_docs"], ["_q", "_queries"]]
+    rows = blocks.queries.collect()
+    assert sum(len(r["_queries"]) for r in rows) < sum(len(pickle.dumps(B._unpack(r["_queries"]), protocol=5)) for r in rows)
