@@ -7,7 +7,7 @@ and several weak ones can carry a label. Which of the two latent classes is the
 (functions are right more often than not, defects are the smaller part). Only the counts of vote patterns, bounded by
 three to the number of functions of a defect, leave the cluster for fitting. Labels are kept where the posterior exceeds
 the cutoff of the defect, so a response may keep several; :func:`one_defect` picks the one the votes favour most.
-:func:`validated_cutoffs` chooses the cutoffs on a bounded sample of responses into which defects are planted.
+:func:`validated_cutoffs` chooses the cutoffs on all responses, into each of which every defect is planted.
 
 The language functions learn character trigrams of every language from the responses themselves, each taken to be in
 the language that its prompt wants; wrong ones are few. What is collected for that is bounded by languages times buckets.
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.runtime import cut_lineage
@@ -79,9 +79,8 @@ EM_ROUNDS = 50
 LEAN, SELDOM, RARELY_NEW = 2.0, 0.25, 0.02
 #: A sentence is a formula where it is said under so large a share of the prompts, and under several of them.
 FORMULA_SHARE = 0.02
-#: Cutoffs are chosen from GRID on at most PLANTED_ROWS responses into which defects are planted.
+#: Cutoffs are chosen from GRID.
 GRID = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
-PLANTED_ROWS = 1_000
 EMPTY_TEXTS = ("", " \n ", "N/A", "{}", "[]", "null", "```\n```", "...", '{"summary": "", "key_findings": []}', "# Summary\n\n# Findings\n")
 REFUSAL_TEXTS = (
     "I'm sorry, but I can't assist with that request.", "I am unable to answer this question.", "As a language model I cannot do this. Please contact an expert.", "Unfortunately I must decline.", "Sorry, that is not something I can help with.",
@@ -121,7 +120,10 @@ def prepare(generations: DataFrame, prompts: DataFrame) -> DataFrame:
     asked = F.coalesce(*[F.when(F.col("prompt_text").rlike(ASKED + rf"(?:{names})\b"), F.lit(lang)) for lang, names in LANGUAGE_NAMES.items()])
     p = p.select("prompt_id", "_p.*").withColumns({"prompt_plain": _plain(F.col("prompt_text")), "wanted_lang": F.coalesce(asked, F.lower(F.trim("prompt_lang")))})
     planted = F.col("planted") if "planted" in generations.columns else F.lit(None).cast("string").alias("planted")
-    g = generations.select("generation_id", "prompt_id", "error", "text", planted).join(p.select("prompt_id", "prompt_plain", "wanted_lang"), "prompt_id", "left")
+    copies = F.col("copies") if "copies" in generations.columns else F.lit(1).cast("bigint").alias("copies")
+    sound = F.coalesce(F.col("sound"), F.lit(False)).alias("sound") if "sound" in generations.columns else F.lit(False).alias("sound")
+    g = generations.select("generation_id", "prompt_id", "error", "text", planted, copies, sound).join(p.select("prompt_id", "prompt_plain", "wanted_lang", F.lit(True).alias("_known")), "prompt_id", "left")
+    g = g.withColumn("sound", F.col("sound") & F.col("_known").isNotNull()).drop("_known")
     g = g.withColumn("h", F.xxhash64("text", "planted")).withColumn("answer", bare_answer(F.col("text")))
     # Content without keys of objects, fences, headings and labels.
     content = F.regexp_replace("answer", r'"[A-Za-z_]+"\s*:', " ")
@@ -287,7 +289,7 @@ def read_features(g: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
     t = _tokens(F.col("last_line"))
     hits = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in _stop_hits(F.split("speech", r"[^\p{L}\p{N}]+")).items()])
     return g.select(
-        *KEY, "planted", "wanted_lang", hear(model)("speech", "wanted_lang").alias("heard"), "refuses", "near", "shared", json.alias("json"),
+        *KEY, "planted", "copies", "sound", "wanted_lang", hear(model)("speech", "wanted_lang").alias("heard"), "refuses", "near", "shared", json.alias("json"),
         F.when(json, F.try_parse_json(body).isNull()).alias("broken"),
         F.coalesce(has_prompt, F.lit(False)).alias("has_prompt"), F.coalesce(~ratio.between(0.33, 3.0), F.lit(False)).alias("far"),
         F.col("content").rlike(r"[\p{L}\p{N}]").alias("has_content"), F.col("content").rlike(r"\p{L}{2}").alias("has_words"),
@@ -362,7 +364,7 @@ def cast_votes(x: DataFrame, habits: tuple[DataFrame, DataFrame, DataFrame, Data
     scripts = x.where("planted is null and heard.script is not null and wanted_lang is not null").groupBy("wanted_lang", F.col("heard.script").alias("script")).agg(F.count("*").alias("n")).groupBy("wanted_lang").agg(F.max_by("script", F.struct("n", "script")).alias("_main"))
     x = x.join(scripts, "wanted_lang", "left")  # a row a language
     columns = [v.alias(f"{d}__{name}") for d, fs in votes.items() for name, v in fs.items()]
-    return x.select("generation_id", "planted", *columns)
+    return x.select("generation_id", "planted", "copies", "sound", *columns)
 
 
 #: Functions that see few cases of their defect by their nature; their silence says little.
@@ -419,14 +421,18 @@ def _functions(votes: DataFrame, defect: str) -> list[str]:
 
 
 def coded_votes(votes: DataFrame) -> DataFrame:
-    """(generation_id, planted, defect, pattern)."""
+    """(generation_id, planted, copies, sound, defect, pattern)."""
     code = lambda d: F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _functions(votes, d)])
-    return votes.select("generation_id", "planted", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), code(d).alias("pattern")) for d in PRECEDENCE])).alias("_v")).select("generation_id", "planted", "_v.*")
+    own = ["generation_id", "planted", "copies", "sound"]
+    return votes.select(*own, F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), code(d).alias("pattern")) for d in PRECEDENCE])).alias("_v")).select(*own, "_v.*")
 
 
 def pattern_odds(votes: DataFrame) -> tuple[pd.DataFrame, dict[str, LabelModel]]:
     """(defect, pattern, planted, n, odds) for all patterns that occur, and the models fitted on those of real responses."""
-    counts = coded_votes(votes).groupBy("defect", "pattern", "planted").agg(F.count("*").alias("n")).toPandas()  # bounded: 3 to the number of functions of a defect
+    counted = coded_votes(votes).groupBy("defect", "pattern", "planted").agg(F.sum("copies").alias("n"), F.count_if("sound").alias("sound")).toPandas()  # bounded: 3 to the number of functions of a defect
+    # Responses that took defects stand for themselves as the unchanged ones.
+    unchanged = counted[counted["planted"].isna() & (counted["sound"] > 0)].assign(planted="none")
+    counts = pd.concat([counted, unchanged.assign(n=unchanged["sound"])], ignore_index=True).drop(columns="sound")
     models = {}
     counts["odds"] = 0.0
     for d in PRECEDENCE:
@@ -460,17 +466,24 @@ def validated_cutoffs(counts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["defect", "cutoff", "precision", "recall", "planted"])
 
 
-def plant(generations: DataFrame, prompts: DataFrame, rows: int = PLANTED_ROWS) -> DataFrame:
-    """At most ``rows`` responses, chosen by hash, each unchanged ("none") and with every defect planted that it can take.
+def _takes() -> Column:
+    """Whether a response is long enough to have defects planted into it."""
+    return F.coalesce((F.length("text") >= 80) & F.col("prompt_id").isNotNull(), F.lit(False))
 
-    Truncated: cut off at 0.3 to 0.9 of its length. Other language: the text of a response to a prompt in another
-    language. Copied: the prompt, plain, quoted or without a word. Empty and refusal: fixed texts. Only the sample's
-    responses are read whole.
+
+def plant(generations: DataFrame, prompts: DataFrame, rows: int | None = None) -> DataFrame:
+    """All responses (with ``rows`` only so many, by hash), each unchanged ("none") and with every defect planted that it can take.
+
+    Truncated: cut off at 0.3 to 0.9 of its length. Other language: under a prompt in another language than its own.
+    Copied: the prompt, plain, quoted or without a word. Empty and refusal: fixed texts.
     """
-    langs = prompts.where("prompt_id is not null").groupBy("prompt_id").agg(F.max(F.struct("prompt_text", F.lower(F.trim("lang")).alias("lang"))).alias("_p")).select("prompt_id", "_p.prompt_text", "_p.lang")
-    chosen = generations.where("length(text) >= 80 and prompt_id is not null").select("generation_id", "prompt_id", "error", "text").orderBy(F.xxhash64("generation_id", F.lit(5)), "text").limit(rows)
-    base = chosen.join(langs, "prompt_id").withColumn("turn", F.pmod(F.xxhash64("generation_id"), F.lit(60)))
-    asks = F.col("prompt_text").rlike(ASKED)
+    p = prompts.where("prompt_id is not null").groupBy("prompt_id").agg(F.max(F.struct("prompt_text", F.lower(F.trim("lang")).alias("lang"))).alias("_p")).select("prompt_id", "_p.prompt_text", "_p.lang")
+    # Prompts that ask for a language of their own take no answer in a wrong one.
+    p = p.withColumn("lang", F.when(~F.col("prompt_text").rlike(ASKED), F.col("lang")))
+    chosen = generations.where(_takes()).select("generation_id", "prompt_id", "error", "text")
+    if rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("generation_id", F.lit(5)), "text").limit(rows)
+    base = chosen.join(p, "prompt_id").withColumn("turn", F.pmod(F.xxhash64("generation_id"), F.lit(60)))
     made = {
         "none": F.col("text"),
         "truncated": F.substr(F.col("text"), F.lit(1), (F.length("text") * (0.3 + 0.01 * F.col("turn"))).cast("int")),
@@ -479,10 +492,28 @@ def plant(generations: DataFrame, prompts: DataFrame, rows: int = PLANTED_ROWS)
         "refusal": F.get(F.array(*[F.lit(t) for t in REFUSAL_TEXTS]), F.col("turn") % len(REFUSAL_TEXTS)),
     }
     direct = base.select("generation_id", "prompt_id", "error", F.explode(F.array(*[F.struct(F.lit(k).alias("planted"), c.alias("text")) for k, c in made.items()])).alias("_m")).select("generation_id", "prompt_id", "error", "_m.*")
-    # A response of each other language stands for the answers in a wrong one; the sample is bounded, so are its pairs.
-    spoken = base.where(~asks & F.col("lang").isNotNull()).groupBy("lang", F.pmod(F.xxhash64("generation_id"), F.lit(8)).alias("slot")).agg(F.min_by("text", F.xxhash64("text")).alias("other"))
-    wrong = base.where(~asks & F.col("lang").isNotNull()).withColumn("slot", F.pmod(F.xxhash64("prompt_id", "generation_id"), F.lit(8))).join(spoken.withColumnRenamed("lang", "_l"), "slot").where("_l <> lang")
-    return direct.unionByName(wrong.select("generation_id", "prompt_id", "error", F.lit("other_language").alias("planted"), F.col("other").alias("text")))
+    # Prompts are numbered inside their language; each response goes to one of another language.
+    numbered = p.where("lang is not null").select(F.col("prompt_id").alias("_to"), F.col("lang").alias("_l"), F.row_number().over(Window.partitionBy("lang").orderBy("prompt_id")).alias("_n"))
+    many = numbered.groupBy("_l").agg(F.max("_n").alias("_many")).agg(F.array_sort(F.collect_list(F.struct("_l", "_many"))).alias("_langs"))
+    sent = base.where("lang is not null").crossJoin(F.broadcast(many))  # one row
+    sent = sent.withColumn("_langs", F.filter("_langs", lambda x: x["_l"] != F.col("lang"))).where(F.size("_langs") > 0)
+    sent = sent.withColumn("_at", F.get("_langs", F.pmod(F.xxhash64("generation_id", F.lit(7)), F.size("_langs")).cast("int")))
+    sent = sent.withColumns({"_l": F.col("_at._l"), "_n": (F.pmod(F.xxhash64("generation_id", F.lit(11)), F.col("_at._many")) + 1).cast("int")})
+    wrong = sent.join(numbered, ["_l", "_n"]).select("generation_id", F.col("_to").alias("prompt_id"), "error", F.lit("other_language").alias("planted"), "text")
+    return direct.unionByName(wrong)
+
+
+def with_planted(generations: DataFrame, prompts: DataFrame) -> DataFrame:
+    """All responses and all that is planted into them, as :func:`prepare` reads it.
+
+    Equal planted texts under one prompt are one row with the number of its copies. Those planted unchanged are no rows
+    of their own: ``sound`` marks the responses that stand for them.
+    """
+    real = generations.select("generation_id", "prompt_id", "error", "text", F.lit(None).cast("string").alias("planted"), F.lit(1).cast("bigint").alias("copies"), _takes().alias("sound"))
+    planted = plant(generations, prompts).where("planted <> 'none'")
+    own = planted.where("planted in ('truncated', 'other_language')").withColumn("copies", F.lit(1).cast("bigint"))
+    told = planted.where("planted not in ('truncated', 'other_language')").groupBy("prompt_id", "error", "planted", "text").agg(F.min("generation_id").alias("generation_id"), F.count("*").alias("copies"))
+    return real.unionByName(own.unionByName(told).withColumn("sound", F.lit(False)))
 
 
 def label_table(votes: DataFrame) -> DataFrame:

@@ -119,3 +119,20 @@ def test_line_ends_are_judged_by_rates(spark):
         votes = D.with_votes(D.prepare(spark.createDataFrame(rows, GEN), spark.createDataFrame([], PROMPT)))
         got = {(texts[r.generation_id % len(texts)], r.truncated__strange_end) for r in votes.where("generation_id % 161 > 150").collect()}
         assert len(texts) == 161 and got == {(once, None), (sound, 0), *((c, 1) for c in cut)}
+
+
+def test_defects_are_planted_into_all_responses(spark):
+    """More than the 1,000 responses that cutoffs were chosen on before; equal planted texts are one row that counts for all."""
+    prompts = [("P1", "t", "s", "en", ASK), ("P2", "t", "s", "fr", "Explique la segmentation de la parole et ses limites à un débutant."), ("P3", "t", "s", "en", "Explain it. Please reply in French.")]
+    rows = [(i, f"P{i % 3 + 1}", None, None, f"{GOOD[0]} It was run {i} times.", None, None, None) for i in range(1_500)]
+    rows += [(2_000, "P1", None, None, "short", None, None, None), (2_001, None, None, None, GOOD[0], None, None, None), (2_002, "nobody", None, None, GOOD[0], None, None, None)]
+    g, p = spark.createDataFrame(rows, GEN), spark.createDataFrame(prompts, PROMPT)
+    want = {"none": 1_500, "truncated": 1_500, "copied_question": 1_500, "empty": 1_500, "refusal": 1_500, "other_language": 1_000}
+    assert {r.planted: r["count"] for r in D.plant(g, p).groupBy("planted").count().collect()} == want
+    every = D.with_planted(g, p).cache()
+    got = {r.planted: r.n for r in every.where("planted is not null").groupBy("planted").agg(F.sum("copies").alias("n")).collect()}
+    assert got | {"none": D.prepare(every, p).where("sound").count()} == want
+    assert every.where("planted in ('copied_question', 'empty', 'refusal')").count() < 200
+    # Each response is read under a prompt of another language.
+    wrong = every.where("planted = 'other_language'")
+    assert wrong.select("text").distinct().count() == 1_000 and {r.prompt_id for r in wrong.select("prompt_id").distinct().collect()} == {"P1", "P2"}
