@@ -142,3 +142,38 @@ def test_heads_are_merged_now_and_then():
     row, ids, score, values = best.rows()
     want = np.argsort(-np.round(every, 9), axis=1, kind="stable")[:, :5]
     assert ids.reshape(4, 5).tolist() == want.tolist() and np.allclose(score.reshape(4, 5), np.take_along_axis(every, want, axis=1)) and np.allclose(values[0], score)
+
+
+@pytest.mark.parametrize("size", [(4096, 512, 1), (37, 5, 11)])
+def test_ranks_of_documents_that_share_a_label(spark, made, size, monkeypatch):
+    """Before, a row a pair went along with every block of documents; now a query has one row, whatever its labels hold."""
+    monkeypatch.setattr(B, "DOCS_PER_BLOCK", size[0])
+    monkeypatch.setattr(B, "QUERIES_PER_BLOCK", size[1])
+    labels = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("big"))).when(F.col("doc_id") % 10 == 1, F.array(F.lit("big"), F.lit("small"))).when(F.col("doc_id") % 5 == 0, F.array(F.lit("small")))
+    docs = made[3].withColumn("labels", labels)
+    asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "labels").unionByName(spark.createDataFrame([(7, None), (9999, ["small"])], "query_id bigint, labels array<string>"))
+    blocks = B.pack_blocks(docs, made[4], least=size[2])
+    assert blocks.many >= size[2]
+    ranked = T.full_ranks(lists(made[2]), ("query_id", "component")).where("component = 'bm25'").select("query_id", "doc_id", "rank")
+    one = lambda df, key: df.select(F.col(key).alias(key), F.explode("labels").alias("label"))
+    pairs = one(asked, "query_id").join(one(docs, "doc_id"), "label").select("query_id", "doc_id").distinct()
+    pairs = pairs.unionByName(asked.where("labels is null").join(docs, F.col("query_id") == F.col("doc_id")).select("query_id", "doc_id"))
+    want = pairs.join(ranked, ["query_id", "doc_id"], "left").fillna(0, ["rank"])
+    got = B.label_ranks(blocks, asked, "bm25")
+    columns = ("query_id", "doc_id", "rank")
+    assert rounded(got, *columns) == rounded(want, *columns) and got.where("rank = 0").count() > 0 and got.count() > 20 * asked.count()
+
+
+def test_equal_scores_are_counted_by_id():
+    known, fall = np.array([30, 10, 20, 40]), np.array([-2.0, -1.0, -1.0, -1.0])
+    order, before = np.array([0, 1, 2, 3], dtype=np.int32), np.zeros(5, dtype=np.int32)
+    B.LabelRanks.count(np.array([-1.0, -1.0, -1.0, -2.0, -1.5, -0.5, -2.0]), np.array([5, 15, 45, 29, 1, 1, 31]), fall, known, order, before)
+    assert before.tolist() == [1, 3, 1, 0, 2]
+
+
+def test_no_words_are_known(spark, made):
+    docs = made[3].withColumn("labels", F.array(F.lit("a"))).where("text is null or doc_id < 3")
+    asked = docs.where("text is null").select(F.col("doc_id").alias("query_id"), "labels")
+    blocks = B.pack_blocks(docs, docs.where("text is null").select(F.col("doc_id").alias("query_id"), "text"))
+    got = B.label_ranks(blocks, asked, "bm25").collect()
+    assert len(got) == asked.count() * docs.count() > 0 and {r["rank"] for r in got} == {0}
