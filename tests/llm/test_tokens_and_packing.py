@@ -77,3 +77,17 @@ def test_evolution_never_worsens():
     first = P.best_fit([], list(range(120)), sizes, 130)
     best = P.evolve(sizes, 130, [], random.Random(3))
     assert len(best) <= len(first) and sorted(i for b in best for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 130 for b in best)
+
+
+@pytest.mark.parametrize("seed", [63, 74, 131])
+def test_evolution_goes_on_while_it_gains(seed):
+    """Twelve generations in all, as before, left a container more than needed here."""
+    r = random.Random(seed)
+    sizes = [r.randint(20, 200) for _ in range(120)]
+    best = P.evolve(sizes, 256, [], random.Random(seed))
+    assert len(best) == P.least_boxes(sizes, 256) and sorted(i for b in best for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 256 for b in best)
+
+
+def test_least_boxes():
+    assert P.least_boxes([], 10) == 0 and P.least_boxes([0, 0], 10) == 0
+    assert P.least_boxes([6, 6, 6], 10) == 3 and P.least_boxes([6, 4, 6, 4], 10) == 2 and P.least_boxes([7, 7, 4, 4], 10) == 3
